@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analyses are batch queries over complete tables; none of them has a
+streaming form (no watermark, window or state semantics to reproduce), so
+nothing lives here.
+"""
