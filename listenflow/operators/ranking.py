@@ -42,30 +42,38 @@ def _segments(df: DataFrame, keys: Sequence[Column], n: int | None) -> DataFrame
     return seg.checkpoint(eager=True)
 
 
-def row_number_within(df: DataFrame, order_by: Sequence, group_by: Sequence[str] = (),
-                      out: str = "row_num", segments: int | None = None) -> DataFrame:
-    """Add ``out`` = 1-based position of each row inside its group, in ``order_by`` order.
-
-    Equivalent to ``row_number() OVER (PARTITION BY group_by ORDER BY order_by)``
-    but never puts a whole group into one task.  Give ``order_by`` a unique
-    tiebreak for a deterministic result.
-    """
-    group_by = list(group_by)
+def _ranked(df: DataFrame, order_by: Sequence, group_by: Sequence[str], out: str,
+            total: str | None, segments: int | None) -> DataFrame:
     order = _cols(order_by)
     seg = _segments(df, _cols(group_by) + order, segments)
     local_w = Window.partitionBy(SEG, *group_by).orderBy(*order)
     local = seg.withColumn("_lf_local", F.row_number().over(local_w))
     counts = seg.groupBy(SEG, *group_by).agg(F.count(F.lit(1)).alias("_lf_cnt"))
-    # at most one row per (segment, group): the window below is bounded by the
+    # at most one row per (segment, group): these windows are bounded by the
     # number of segments, whatever the skew of the data
-    before = Window.partitionBy(*group_by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    grp = Window.partitionBy(*group_by)
+    before = grp.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_lf_cnt").over(grp).cast("long").alias(total)] if total else []
     offsets = counts.select(SEG, *group_by,
-                            F.coalesce(F.sum("_lf_cnt").over(before), F.lit(0)).alias("_lf_off"))
+                            F.coalesce(F.sum("_lf_cnt").over(before), F.lit(0)).alias("_lf_off"), *extra)
     joined = local.join(offsets, [SEG, *group_by], "inner")
     return joined.withColumn(out, (F.col("_lf_off") + F.col("_lf_local")).cast("long")) \
                  .drop(SEG, "_lf_local", "_lf_off")
 
 
+def row_number_within(df: DataFrame, order_by: Sequence, group_by: Sequence[str] = (),
+                      out: str = "row_num", segments: int | None = None,
+                      total: str | None = None) -> DataFrame:
+    """Add ``out`` = 1-based position of each row inside its group, in ``order_by`` order
+    (and, if ``total`` is given, the group's row count under that name).
+
+    Equivalent to ``row_number() OVER (PARTITION BY group_by ORDER BY order_by)``
+    but never puts a whole group into one task.  Give ``order_by`` a unique
+    tiebreak for a deterministic result.
+    """
+    return _ranked(df, order_by, list(group_by), out, total, segments)
+
+
 def ntile_from_rank(rank, total, n: int) -> Column:
     """SQL NTILE bucket of the 1-based ``rank`` among ``total`` rows.
 
@@ -84,15 +92,7 @@ def ntile_from_rank(rank, total, n: int) -> Column:
 def exact_ntile(df: DataFrame, n: int, order_by: Sequence, out: str = "ntile",
                 group_by: Sequence[str] = (), segments: int | None = None) -> DataFrame:
     """``NTILE(n) OVER (PARTITION BY group_by ORDER BY order_by)``, skew-safe."""
-    group_by = list(group_by)
-    ranked = row_number_within(df, order_by, group_by, out="_lf_rank", segments=segments)
-    if group_by:
-        sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_lf_total"))
-        ranked = ranked.join(sizes, group_by, "inner")
-    else:
-        # one-row frame: the only broadcast here, of a proven single row
-        sizes = df.agg(F.count(F.lit(1)).alias("_lf_total"))
-        ranked = ranked.crossJoin(F.broadcast(sizes))
+    ranked = row_number_within(df, order_by, group_by, out="_lf_rank", segments=segments, total="_lf_total")
     return ranked.withColumn(out, ntile_from_rank("_lf_rank", "_lf_total", n)) \
                  .drop("_lf_rank", "_lf_total")
 
@@ -108,17 +108,15 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], names:
     """
     group_by = list(group_by)
     vals = df.select(*group_by, F.col(value).cast("double").alias("_lf_v")).where(F.col("_lf_v").isNotNull())
-    ranked = row_number_within(vals, [F.col("_lf_v").asc()], group_by, out="_lf_r", segments=segments)
-    sizes = vals.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_lf_n")) if group_by else \
-        vals.agg(F.count(F.lit(1)).alias("_lf_n"))
+    ranked = row_number_within(vals, [F.col("_lf_v").asc()], group_by, out="_lf_r", segments=segments,
+                               total="_lf_n")
     pos_cols = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_lf_n") - 1)
         pos_cols += [(F.floor(pos) + 1).cast("long").alias(f"_lf_lo{i}"),
                      (F.ceil(pos) + 1).cast("long").alias(f"_lf_hi{i}"),
                      (pos - F.floor(pos)).alias(f"_lf_fr{i}")]
-    sizes = sizes.select(*group_by, *pos_cols)
-    joined = ranked.join(sizes, group_by, "inner") if group_by else ranked.crossJoin(F.broadcast(sizes))
+    joined = ranked.select("*", *pos_cols)
     wanted = None
     for i in range(len(probs)):
         c = (F.col("_lf_r") == F.col(f"_lf_lo{i}")) | (F.col("_lf_r") == F.col(f"_lf_hi{i}"))

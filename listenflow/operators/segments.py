@@ -10,6 +10,7 @@ from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user, back_to_users
 from listenflow.operators.features import _events_per_session
 from listenflow.operators.ranking import exact_ntile, exact_percentiles
+from listenflow.session import materialize
 from listenflow.sources.product import ProductTables
 
 # fixed: tier score terms, (weight, cap); upgrade clicks weigh 10 and are not capped
@@ -119,7 +120,9 @@ def _qcut_score() -> F.Column:
 def qcut_scored(features: DataFrame) -> DataFrame:
     """Notebook features with score and quantile segment (right-closed bins,
     lowest bin includes the minimum; equal edges leave bins empty)."""
-    scored = features.withColumn("engagement_score", _qcut_score())
+    # read twice (edges, then assignment): materialize once instead of
+    # re-running the feature pipeline for the second read
+    scored = materialize(features.withColumn("engagement_score", _qcut_score()))
     edges = exact_percentiles(scored, "engagement_score", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
     j = scored.crossJoin(F.broadcast(edges))     # one row of edges
     s = F.col("engagement_score")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from listenflow.functions.dates import elapsed_micros
 from listenflow.operators.sessionize import sessionize
+from listenflow.session import checkpoint_dir
 from listenflow.sources.raw import read_raw
 
 # ---- fixed values of the table mapping (must not change) --------------------
@@ -42,12 +43,22 @@ PRODUCT_TABLES = ("users", "sessions", "events", "tracks", "plays")
 
 @dataclass(frozen=True)
 class ProductTables:
+    """The five product tables.  Fields may be DataFrames or zero-argument
+    callables returning one; a callable is resolved on first access, so an
+    analysis that never reads sessions never runs the sessionization."""
     users: DataFrame
     sessions: DataFrame
     events: DataFrame
     tracks: DataFrame
     plays: DataFrame
 
+    def __getattribute__(self, name):
+        value = object.__getattribute__(self, name)
+        if name in PRODUCT_TABLES and callable(value) and not isinstance(value, DataFrame):
+            value = value()
+            object.__setattr__(self, name, value)
+        return value
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in PRODUCT_TABLES}
 
@@ -139,12 +150,41 @@ def derive_plays(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def load_product_tables(spark: SparkSession, sf_dir: str) -> ProductTables:
-    ev = sessionized_events(read_raw(spark, sf_dir, "events"))
+# Sessionized events, materialized once per (Spark application, source folder).
+# The source tables are read-only inputs, so the derivation is a load step:
+# it is checkpointed into spark.checkpoint.dir and every analysis of the
+# session reads that copy (which also survives the loss of an executor).
+_SESSIONIZED: dict[tuple[str, str], DataFrame] = {}
+
+
+def materialized_sessionized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _SESSIONIZED:
+        checkpoint_dir(spark)
+        ev = sessionized_events(read_raw(spark, sf_dir, "events")).drop("session_seq")
+        _SESSIONIZED[key] = ev.checkpoint(eager=True)
+    return _SESSIONIZED[key]
+
+
+def load_product_tables(spark: SparkSession, sf_dir: str, reuse: bool = True) -> ProductTables:
+    """Lazy product tables over the parquet files in ``sf_dir``.
+
+    With ``reuse`` the sessionized events are derived once per application
+    (see :func:`materialized_sessionized_events`); without it every call
+    derives them afresh.
+    """
+    ev = {}
+
+    def events_with_sessions() -> DataFrame:
+        if "ev" not in ev:
+            ev["ev"] = (materialized_sessionized_events(spark, sf_dir) if reuse
+                        else sessionized_events(read_raw(spark, sf_dir, "events")))
+        return ev["ev"]
+
     return ProductTables(
-        users=derive_users(read_raw(spark, sf_dir, "customer"), read_raw(spark, sf_dir, "nation")),
-        sessions=derive_sessions(ev),
-        events=derive_events(ev),
-        tracks=derive_tracks(read_raw(spark, sf_dir, "part")),
-        plays=derive_plays(read_raw(spark, sf_dir, "lineitem"), read_raw(spark, sf_dir, "orders")),
+        users=lambda: derive_users(read_raw(spark, sf_dir, "customer"), read_raw(spark, sf_dir, "nation")),
+        sessions=lambda: derive_sessions(events_with_sessions()),
+        events=lambda: derive_events(events_with_sessions()),
+        tracks=lambda: derive_tracks(read_raw(spark, sf_dir, "part")),
+        plays=lambda: derive_plays(read_raw(spark, sf_dir, "lineitem"), read_raw(spark, sf_dir, "orders")),
     )
