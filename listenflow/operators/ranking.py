@@ -11,9 +11,9 @@ per segment and group) turns that into a global position.
 The segment id is ``spark_partition_id()`` read right after the range
 exchange.  Spark seeds the range sampler with the RDD id, so two plannings of
 the same exchange can cut different boundaries; the segmented frame is
-therefore checkpointed (reliably, into ``spark.checkpoint.dir``) once and both
-branches read that copy.  This also cuts the lineage: a lost executor
-re-reads the checkpoint instead of re-running the range shuffle.
+therefore written once (a Parquet table under ``spark.checkpoint.dir``) and
+both branches read that copy.  This also cuts the lineage: a lost executor
+re-reads the files instead of re-running the range shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenflow.session import checkpoint_dir
+from listenflow.session import materialize
 
 SEG = "_lf_seg"
 
@@ -37,9 +37,8 @@ def _segments(df: DataFrame, keys: Sequence[Column], n: int | None) -> DataFrame
     if n is None:
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 spark.sparkContext.defaultParallelism)
-    checkpoint_dir(spark)
     seg = df.repartitionByRange(n, *keys).withColumn(SEG, F.spark_partition_id())
-    return seg.checkpoint(eager=True)
+    return materialize(seg)
 
 
 def _ranked(df: DataFrame, order_by: Sequence, group_by: Sequence[str], out: str,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listenflow.functions.dates import week_start
-from listenflow.functions.numeric import pct
+from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user
 from listenflow.sources.product import ProductTables
 
@@ -68,8 +68,10 @@ def retention_curve(retention: DataFrame, first_n: int = FIRST_COHORTS) -> DataF
     """Unweighted mean retention by week over the earliest ``first_n`` cohorts."""
     keep = F.broadcast(_first_cohorts(retention, first_n))
     r = retention.join(keep, "cohort_week", "inner")
+    # the mean of doubles depends on summation order in its last bit; 9
+    # decimals make it identical however the rows were partitioned
     return r.groupBy("week_number").agg(
-        F.avg("retention_pct").alias("avg_retention_pct"),
+        round_half_away(F.avg("retention_pct"), 9).alias("avg_retention_pct"),
         F.count("retention_pct").cast("long").alias("cohorts_observed"),
     ).withColumn("is_milestone", F.col("week_number").isin(*MILESTONE_WEEKS))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -70,7 +71,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Reliable checkpoint into ``spark.checkpoint.dir``: cuts the lineage of
-    a frame that is read more than once (never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table under ``spark.checkpoint.dir`` and read it back.
+
+    Cuts the lineage of a frame that is read more than once: later stages
+    (and retries after a lost executor) read the shared files instead of
+    re-running the upstream jobs.  Parquet rather than an RDD checkpoint, so
+    the copy is columnar and compressed and readers prune its columns.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/listenflow/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

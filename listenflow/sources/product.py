@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from listenflow.functions.dates import elapsed_micros
 from listenflow.operators.sessionize import sessionize
-from listenflow.session import checkpoint_dir
+from listenflow.session import materialize
 from listenflow.sources.raw import read_raw
 
 # ---- fixed values of the table mapping (must not change) --------------------
@@ -152,17 +152,16 @@ def derive_plays(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 # Sessionized events, materialized once per (Spark application, source folder).
 # The source tables are read-only inputs, so the derivation is a load step:
-# it is checkpointed into spark.checkpoint.dir and every analysis of the
-# session reads that copy (which also survives the loss of an executor).
+# it is written as Parquet under spark.checkpoint.dir and every analysis of
+# the session reads that copy (which also survives the loss of an executor).
 _SESSIONIZED: dict[tuple[str, str], DataFrame] = {}
 
 
 def materialized_sessionized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _SESSIONIZED:
-        checkpoint_dir(spark)
         ev = sessionized_events(read_raw(spark, sf_dir, "events")).drop("session_seq")
-        _SESSIONIZED[key] = ev.checkpoint(eager=True)
+        _SESSIONIZED[key] = materialize(ev)
     return _SESSIONIZED[key]
 
 

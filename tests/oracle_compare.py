@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -40,7 +41,8 @@ def rows_of(cols, rows, digits):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-def compare(spark, name, fn, sql, sf_dir, con, digits=9):
+def compare(spark, name, fn, sql, sf_dir, con, digits=None):
+    digits = int(os.environ.get("LF_DIGITS", "9")) if digits is None else digits
     t0 = time.time()
     df = fn(spark, sf_dir)
     s_cols = df.columns
