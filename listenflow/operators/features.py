@@ -81,9 +81,10 @@ def d7_track_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
         F.sum(F.when(F.col("completed") == F.lit(True), 1).otherwise(0)).cast("long").alias("tracks_completed_d7"),
         F.countDistinct("track_id").cast("long").alias("unique_tracks_d7"),
         F.countDistinct("genre").cast("long").alias("unique_genres_d7"),
-        F.avg("energy").alias("avg_track_energy"),
-        F.avg("danceability").alias("avg_track_danceability"),
-        F.avg("valence").alias("avg_track_valence"))
+        # means of doubles: 9 decimals make them independent of row order
+        round_half_away(F.avg("energy"), 9).alias("avg_track_energy"),
+        round_half_away(F.avg("danceability"), 9).alias("avg_track_danceability"),
+        round_half_away(F.avg("valence"), 9).alias("avg_track_valence"))
     # a user without plays still has one NULL row in the SQL's left join, whose
     # CASE gives 0: so every count, the completed sum included, is 0, not NULL
     out = back_to_users(t.users.select("user_id"), per_user,

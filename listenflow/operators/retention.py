@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenflow.functions.dates import week_start
@@ -73,7 +73,9 @@ def retention_curve(retention: DataFrame, first_n: int = FIRST_COHORTS) -> DataF
     return r.groupBy("week_number").agg(
         round_half_away(F.avg("retention_pct"), 9).alias("avg_retention_pct"),
         F.count("retention_pct").cast("long").alias("cohorts_observed"),
-    ).withColumn("is_milestone", F.col("week_number").isin(*MILESTONE_WEEKS))
+    ).withColumn("is_milestone", F.col("week_number").isin(*MILESTONE_WEEKS)) \
+     .withColumn("reference_level",       # level at the last week, the dashed line
+                 F.max_by("avg_retention_pct", "week_number").over(Window.partitionBy()))  # ≤ max_week+1 rows
 
 
 def cohort_day3_vs_retention(t: ProductTables, week: int = 4, day3: int = 3) -> DataFrame:
@@ -93,3 +95,11 @@ def cohort_day3_vs_retention(t: ProductTables, week: int = 4, day3: int = 3) ->
         "cohort_week", "cohort_size",
         (F.col("d3_sessions") / F.col("cohort_size")).alias("avg_day3_sessions"),
         "week_retention_pct")
+
+
+def day3_retention_correlation(t: ProductTables, week: int = 4, day3: int = 3) -> DataFrame:
+    """Pearson correlation, across cohorts, of mean day-3 sessions and
+    week-``week`` retention (cohorts without that week are left out)."""
+    c = cohort_day3_vs_retention(t, week, day3).where(F.col("week_retention_pct").isNotNull())
+    return c.agg(F.count(F.lit(1)).cast("long").alias("cohorts"),
+                 round_half_away(F.corr("avg_day3_sessions", "week_retention_pct"), 6).alias("corr"))

@@ -139,7 +139,7 @@ def engagement_qcut_segments(features: DataFrame) -> DataFrame:
         F.sum("converted").cast("long").alias("_conv"),
         F.avg("converted").alias("conversion_rate"),
         F.avg("sessions_d7").alias("avg_sessions"),
-        F.avg("total_listen_min_d7").alias("avg_listen_min"),
+        round_half_away(F.avg("total_listen_min_d7"), 9).alias("avg_listen_min"),   # order-independent
         F.avg("playlist_saves_d7").alias("avg_saves"))
     return g.select("segment", "users", "conversion_rate", "avg_sessions", "avg_listen_min", "avg_saves",
                     pct("_conv", "users", 1).alias("conversion_rate_pct"))

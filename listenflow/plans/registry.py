@@ -51,6 +51,7 @@ QUERIES: dict[str, QueryFn] = {
     "retention_curve": _q(lambda t: retention.retention_curve(retention.cohort_retention_elapsed(t))),
     "retention_curve_first3": _q(lambda t: retention.retention_curve(retention.cohort_retention_elapsed(t), first_n=3)),
     "cohort_day3_vs_retention": _q(retention.cohort_day3_vs_retention),
+    "day3_retention_correlation": _q(retention.day3_retention_correlation),
     # 3 features
     "d7_session_features": _q(features.d7_session_features),
     "d7_event_features": _q(features.d7_event_features),
