@@ -29,9 +29,11 @@ def attach_user(fact: DataFrame, users: DataFrame, cols: Iterable[str],
 def back_to_users(users: DataFrame, per_user: DataFrame, zero_cols: Iterable[str] = ()) -> DataFrame:
     """users LEFT JOIN a one-row-per-user aggregate; counts of absent users become 0."""
     out = users.join(per_user, "user_id", "left")
-    for c in zero_cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("long")))
-    return out
+    zero = set(zero_cols)
+    if not zero:
+        return out
+    return out.select(*[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) if c in zero else F.col(c)
+                        for c in out.columns])
 
 
 def count_where(cond: Column) -> Column:

@@ -67,9 +67,7 @@ def funnel_by_device(t: ProductTables, stages: Sequence[tuple[int, int]] = DEFAU
     without sessions form the NULL device row."""
     (d1, m1), (d2, m2) = stages
     per_ud = _session_counts(t, stages, by_device=True)
-    rows = t.users.select("user_id", "plan_type").join(per_ud, "user_id", "left")
-    for c in ("n_sessions", f"n_d{d1}", f"n_d{d2}"):
-        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("long")))
+    rows = back_to_users(t.users.select("user_id", "plan_type"), per_ud, ["n_sessions", f"n_d{d1}", f"n_d{d2}"])
     # (user, device) pairs are unique, so rows per device = distinct users
     g = rows.groupBy("device_type").agg(
         F.count(F.lit(1)).cast("long").alias("total_users"),

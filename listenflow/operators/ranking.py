@@ -46,7 +46,7 @@ def _ranked(df: DataFrame, order_by: Sequence, group_by: Sequence[str], out: str
     order = _cols(order_by)
     seg = _segments(df, _cols(group_by) + order, segments)
     local_w = Window.partitionBy(SEG, *group_by).orderBy(*order)
-    local = seg.withColumn("_lf_local", F.row_number().over(local_w))
+    local = seg.select("*", F.row_number().over(local_w).alias("_lf_local"))
     counts = seg.groupBy(SEG, *group_by).agg(F.count(F.lit(1)).alias("_lf_cnt"))
     # at most one row per (segment, group): these windows are bounded by the
     # number of segments, whatever the skew of the data
@@ -56,8 +56,8 @@ def _ranked(df: DataFrame, order_by: Sequence, group_by: Sequence[str], out: str
     offsets = counts.select(SEG, *group_by,
                             F.coalesce(F.sum("_lf_cnt").over(before), F.lit(0)).alias("_lf_off"), *extra)
     joined = local.join(offsets, [SEG, *group_by], "inner")
-    return joined.withColumn(out, (F.col("_lf_off") + F.col("_lf_local")).cast("long")) \
-                 .drop(SEG, "_lf_local", "_lf_off")
+    keep = [c for c in joined.columns if c not in (SEG, "_lf_local", "_lf_off")]
+    return joined.select(*keep, (F.col("_lf_off") + F.col("_lf_local")).cast("long").alias(out))
 
 
 def row_number_within(df: DataFrame, order_by: Sequence, group_by: Sequence[str] = (),
@@ -92,8 +92,8 @@ def exact_ntile(df: DataFrame, n: int, order_by: Sequence, out: str = "ntile",
                 group_by: Sequence[str] = (), segments: int | None = None) -> DataFrame:
     """``NTILE(n) OVER (PARTITION BY group_by ORDER BY order_by)``, skew-safe."""
     ranked = row_number_within(df, order_by, group_by, out="_lf_rank", segments=segments, total="_lf_total")
-    return ranked.withColumn(out, ntile_from_rank("_lf_rank", "_lf_total", n)) \
-                 .drop("_lf_rank", "_lf_total")
+    keep = [c for c in ranked.columns if c not in ("_lf_rank", "_lf_total")]
+    return ranked.select(*keep, ntile_from_rank("_lf_rank", "_lf_total", n).alias(out))
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],

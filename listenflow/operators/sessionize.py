@@ -27,9 +27,9 @@ def sessionize(events: DataFrame, user: str, ts: str, order_id: str, gap_seconds
     seg = _segments(base, [F.col(user), F.col("_lf_us"), F.col(order_id)], segments)
     w = Window.partitionBy(SEG, user).orderBy("_lf_us", order_id)
     prev = F.lag("_lf_us").over(w)
-    local = (seg.withColumn("_lf_start", F.when(prev.isNull() | ((F.col("_lf_us") - prev) > gap), 1)
-                            .otherwise(0))
-                .withColumn("_lf_cum", F.sum("_lf_start").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    start = F.when(prev.isNull() | ((F.col("_lf_us") - prev) > gap), 1).otherwise(0)
+    local = seg.select("*", start.alias("_lf_start"))
+    local = local.select("*", F.sum("_lf_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lf_cum"))
     edges = local.groupBy(SEG, user).agg(F.min("_lf_us").alias("_lf_first"),
                                          F.max("_lf_us").alias("_lf_last"),
                                          F.sum("_lf_start").alias("_lf_starts"))
@@ -37,10 +37,9 @@ def sessionize(events: DataFrame, user: str, ts: str, order_id: str, gap_seconds
     wu = Window.partitionBy(user).orderBy(SEG)
     cont = (F.lag("_lf_last").over(wu).isNotNull()
             & ((F.col("_lf_first") - F.lag("_lf_last").over(wu)) <= gap)).cast("long")
-    edges = edges.withColumn("_lf_cont", cont) \
-                 .withColumn("_lf_adj", F.col("_lf_starts") - F.col("_lf_cont"))
+    edges = edges.select(SEG, user, cont.alias("_lf_cont"), (F.col("_lf_starts") - cont).alias("_lf_adj"))
     edges = edges.select(SEG, user, "_lf_cont", F.coalesce(
         F.sum("_lf_adj").over(wu.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lf_off"))
     joined = local.join(edges, [SEG, user], "inner")
-    return joined.withColumn(out, (F.col("_lf_off") + F.col("_lf_cum") - F.col("_lf_cont")).cast("long")) \
-                 .drop(SEG, "_lf_us", "_lf_start", "_lf_cum", "_lf_cont", "_lf_off")
+    keep = [c for c in joined.columns if c not in (SEG, "_lf_us", "_lf_start", "_lf_cum", "_lf_cont", "_lf_off")]
+    return joined.select(*keep, (F.col("_lf_off") + F.col("_lf_cum") - F.col("_lf_cont")).cast("long").alias(out))
