@@ -41,15 +41,22 @@ def _window_sessions(t: ProductTables, days: int) -> DataFrame:
     return attach_user(s, t.users, ["signup_date"], condition=_in_window("session_date", days))
 
 
-def d7_session_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
-    per_user = _window_sessions(t, days).groupBy("user_id").agg(
+def _session_aggs(t: ProductTables, days: int) -> DataFrame:
+    """Per user with an in-window session: the five session features."""
+    return _window_sessions(t, days).groupBy("user_id").agg(
         F.countDistinct("session_id").cast("long").alias("sessions_d7"),
         F.sum("session_duration_sec").cast("long").alias("total_listen_sec_d7"),
         F.avg("session_duration_sec").alias("avg_session_sec_d7"),
         F.countDistinct("session_date").cast("long").alias("distinct_days_active_d7"),
         F.countDistinct("device_type").cast("long").alias("distinct_devices_d7"))
-    out = back_to_users(t.users.select("user_id", "signup_date", "plan_type"), per_user,
-                        ["sessions_d7", "distinct_days_active_d7", "distinct_devices_d7"])
+
+
+SESSION_COUNTS = ("sessions_d7", "distinct_days_active_d7", "distinct_devices_d7")
+
+
+def d7_session_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
+    out = back_to_users(t.users.select("user_id", "signup_date", "plan_type"), _session_aggs(t, days),
+                        SESSION_COUNTS)
     return out.select("user_id", "signup_date", "plan_type", "sessions_d7", "total_listen_sec_d7",
                       "avg_session_sec_d7", "distinct_days_active_d7", "distinct_devices_d7")
 
@@ -62,21 +69,31 @@ def _events_per_session(t: ProductTables, types: Sequence[str]) -> DataFrame:
     return t.events.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(*aggs)
 
 
-def d7_event_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
-    types = [et for et, _ in EVENT_FEATURES]
-    ev = _events_per_session(t, types)
+EVENT_COUNTS = tuple(name for _, name in EVENT_FEATURES)
+
+
+def _event_aggs(t: ProductTables, days: int) -> DataFrame:
+    """Per user with an in-window session that has events: the seven counts."""
+    ev = _events_per_session(t, [et for et, _ in EVENT_FEATURES])
     s = _window_sessions(t, days).select("session_id", "user_id").join(ev, "session_id", "inner")
-    per_user = s.groupBy("user_id").agg(*[F.sum(f"n_{et}").cast("long").alias(name)
-                                          for et, name in EVENT_FEATURES])
-    out = back_to_users(t.users.select("user_id"), per_user, [name for _, name in EVENT_FEATURES])
-    return out.select("user_id", *[name for _, name in EVENT_FEATURES])
+    return s.groupBy("user_id").agg(*[F.sum(f"n_{et}").cast("long").alias(name) for et, name in EVENT_FEATURES])
 
 
-def d7_track_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
+def d7_event_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
+    out = back_to_users(t.users.select("user_id"), _event_aggs(t, days), EVENT_COUNTS)
+    return out.select("user_id", *EVENT_COUNTS)
+
+
+TRACK_COUNTS = ("tracks_played_d7", "tracks_completed_d7", "unique_tracks_d7", "unique_genres_d7")
+TRACK_MEANS = ("avg_track_energy", "avg_track_danceability", "avg_track_valence")
+
+
+def _track_aggs(t: ProductTables, days: int) -> DataFrame:
+    """Per user with an in-window play: the seven track features."""
     p = t.plays.select("play_id", "user_id", "track_id", "play_date", "completed")
     p = attach_user(p, t.users, ["signup_date"], condition=_in_window("play_date", days))
     p = p.join(t.tracks.select("track_id", "genre", "energy", "danceability", "valence"), "track_id", "left")
-    per_user = p.groupBy("user_id").agg(
+    return p.groupBy("user_id").agg(
         F.count("play_id").cast("long").alias("tracks_played_d7"),
         F.sum(F.when(F.col("completed") == F.lit(True), 1).otherwise(0)).cast("long").alias("tracks_completed_d7"),
         F.countDistinct("track_id").cast("long").alias("unique_tracks_d7"),
@@ -85,30 +102,44 @@ def d7_track_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
         round_half_away(F.avg("energy"), 9).alias("avg_track_energy"),
         round_half_away(F.avg("danceability"), 9).alias("avg_track_danceability"),
         round_half_away(F.avg("valence"), 9).alias("avg_track_valence"))
+
+
+def d7_track_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
     # a user without plays still has one NULL row in the SQL's left join, whose
     # CASE gives 0: so every count, the completed sum included, is 0, not NULL
-    out = back_to_users(t.users.select("user_id"), per_user,
-                        ["tracks_played_d7", "tracks_completed_d7", "unique_tracks_d7", "unique_genres_d7"])
-    return out
+    out = back_to_users(t.users.select("user_id"), _track_aggs(t, days), TRACK_COUNTS)
+    return out.select("user_id", *TRACK_COUNTS, *TRACK_MEANS)
+
+
+def _ratios() -> list:
+    return [pct("skips_d7", "tracks_played_d7", 2).alias("skip_rate_pct"),
+            pct("tracks_completed_d7", "tracks_played_d7", 2).alias("completion_rate_pct"),
+            pct("skips_d7", "ad_views_d7", 2, scale=1).alias("skips_per_ad")]
 
 
 def user_day7_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
-    """The 25-column feature table, one row per user."""
-    ds = d7_session_features(t, days).drop("signup_date")
-    de = d7_event_features(t, days)
-    dt = d7_track_features(t, days)
-    j = ds.join(de, "user_id", "left").join(dt, "user_id", "left")
-    return j.select(
-        "user_id", "plan_type",
-        F.when(F.col("plan_type") == "premium", 1).otherwise(0).alias("converted"),
-        "sessions_d7", "total_listen_sec_d7", "avg_session_sec_d7", "distinct_days_active_d7",
-        "distinct_devices_d7",
-        *[name for _, name in EVENT_FEATURES],
-        "tracks_played_d7", "tracks_completed_d7", "unique_tracks_d7", "unique_genres_d7",
-        "avg_track_energy", "avg_track_danceability", "avg_track_valence",
-        pct("skips_d7", "tracks_played_d7", 2).alias("skip_rate_pct"),
-        pct("tracks_completed_d7", "tracks_played_d7", 2).alias("completion_rate_pct"),
-        pct("skips_d7", "ad_views_d7", 2, scale=1).alias("skips_per_ad"))
+    """The 25-column feature table, one row per user: the three per-user
+    aggregates joined once each onto the users (all 1:1)."""
+    u = t.users.select("user_id", "plan_type")
+    j = u.join(_session_aggs(t, days), "user_id", "left") \
+         .join(_event_aggs(t, days), "user_id", "left") \
+         .join(_track_aggs(t, days), "user_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    j = j.select("user_id", "plan_type",
+                 F.when(F.col("plan_type") == "premium", 1).otherwise(0).alias("converted"),
+                 zero("sessions_d7"), "total_listen_sec_d7", "avg_session_sec_d7",
+                 zero("distinct_days_active_d7"), zero("distinct_devices_d7"),
+                 *[zero(c) for c in EVENT_COUNTS], *[zero(c) for c in TRACK_COUNTS], *TRACK_MEANS)
+    return j.select("*", *_ratios())
+
+
+def _event_track_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
+    """Only the event and track parts of the feature table, with the ratios."""
+    j = t.users.select("user_id").join(_event_aggs(t, days), "user_id", "left") \
+         .join(_track_aggs(t, days), "user_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    j = j.select("user_id", *[zero(c) for c in EVENT_COUNTS], *[zero(c) for c in TRACK_COUNTS])
+    return j.select("*", *_ratios())
 
 
 def d7_features_minutes(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
@@ -133,8 +164,8 @@ def notebook_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
     features (taken from the SQL feature table, where the notebook drew them
     at random)."""
     m = d7_features_minutes(t, days)
-    f = user_day7_features(t, days).select("user_id", "skip_rate_pct", "completion_rate_pct",
-                                           "playlist_saves_d7", "likes_d7", "upgrade_clicks_d7")
+    f = _event_track_features(t, days).select("user_id", "skip_rate_pct", "completion_rate_pct",
+                                              "playlist_saves_d7", "likes_d7", "upgrade_clicks_d7")
     return m.join(f, "user_id", "left")
 
 
