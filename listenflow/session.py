@@ -82,3 +82,16 @@ def materialize(df):
     path = f"{checkpoint_dir(spark).rstrip('/')}/listenflow/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete every copy :func:`materialize` wrote for this application and
+    forget the load-step tables (they are re-derived on next use)."""
+    from listenflow.sources import product
+    root = f"{checkpoint_dir(spark).rstrip('/')}/listenflow"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    for key in [k for k in product._LOADED if k[0] == app]:
+        del product._LOADED[key]
