@@ -32,6 +32,18 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL matches NULL (a window's NULL
+    partition is a group like any other); the key columns appear once."""
+    r = right.select(*[F.col(k).alias(f"_lf_r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_lf_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, "inner").drop(*[f"_lf_r_{k}" for k in keys])
+
+
 def _segments(df: DataFrame, keys: Sequence[Column], n: int | None) -> DataFrame:
     spark = df.sparkSession
     if n is None:
@@ -55,7 +67,7 @@ def _ranked(df: DataFrame, order_by: Sequence, group_by: Sequence[str], out: str
     extra = [F.sum("_lf_cnt").over(grp).cast("long").alias(total)] if total else []
     offsets = counts.select(SEG, *group_by,
                             F.coalesce(F.sum("_lf_cnt").over(before), F.lit(0)).alias("_lf_off"), *extra)
-    joined = local.join(offsets, [SEG, *group_by], "inner")
+    joined = join_on_keys(local, offsets, [SEG, *group_by])
     keep = [c for c in joined.columns if c not in (SEG, "_lf_local", "_lf_off")]
     return joined.select(*keep, (F.col("_lf_off") + F.col("_lf_local")).cast("long").alias(out))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenflow.operators.ranking import SEG, _segments
+from listenflow.operators.ranking import SEG, _segments, join_on_keys
 
 
 def sessionize(events: DataFrame, user: str, ts: str, order_id: str, gap_seconds: int,
@@ -40,6 +40,6 @@ def sessionize(events: DataFrame, user: str, ts: str, order_id: str, gap_seconds
     edges = edges.select(SEG, user, cont.alias("_lf_cont"), (F.col("_lf_starts") - cont).alias("_lf_adj"))
     edges = edges.select(SEG, user, "_lf_cont", F.coalesce(
         F.sum("_lf_adj").over(wu.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lf_off"))
-    joined = local.join(edges, [SEG, user], "inner")
+    joined = join_on_keys(local, edges, [SEG, user])
     keep = [c for c in joined.columns if c not in (SEG, "_lf_us", "_lf_start", "_lf_cum", "_lf_cont", "_lf_off")]
     return joined.select(*keep, (F.col("_lf_off") + F.col("_lf_cum") - F.col("_lf_cont")).cast("long").alias(out))

@@ -67,3 +67,11 @@ def test_exact_percentile_global_and_nulls(spark):
     assert r.m == pytest.approx(2.5)
     empty = spark.createDataFrame([], "v double")
     assert exact_percentiles(empty, "v", [0.5], ["m"]).collect()[0].m is None
+
+
+def test_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 2.0), (None, 2.0)], "g string, v double")
+    got = [(r.g, r.v, r.rn, r.n) for r in row_number_within(df, [F.col("v").asc()], ["g"], out="rn",
+                                                            total="n", segments=3).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1.0, 1, 3), (None, 2.0, 2, 3), (None, 3.0, 3, 3),
+                                           ("a", 2.0, 1, 1)], key=str)

@@ -33,3 +33,11 @@ def test_sessionize_matches_window(spark):
                                                           segments=11).collect()}
     ref = {r.event_id: r.seq for r in naive(df, 4 * 3600).collect()}
     assert ours == ref
+
+
+def test_sessionize_null_user_kept(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, None, base), (2, None, base + dt.timedelta(hours=5)), (3, 7, base)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    got = {r.event_id: r.session_seq for r in sessionize(df, "user_id", "ts", "event_id", 4 * 3600).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
