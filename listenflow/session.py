@@ -78,10 +78,15 @@ def materialize(df):
     re-running the upstream jobs.  Parquet rather than an RDD checkpoint, so
     the copy is columnar and compressed and readers prune its columns.
     """
+    return df.sparkSession.read.parquet(materialize_to_path(df))
+
+
+def materialize_to_path(df) -> str:
+    """Write ``df`` as Parquet under ``spark.checkpoint.dir``; return the folder."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/listenflow/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 def drop_materialized(spark: SparkSession) -> None:
@@ -95,3 +100,5 @@ def drop_materialized(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     for key in [k for k in product._LOADED if k[0] == app]:
         del product._LOADED[key]
+    for key in [k for k in product._OPENED if k[1].startswith(root)]:
+        del product._OPENED[key]

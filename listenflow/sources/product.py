@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from listenflow.functions.dates import elapsed_micros
 from listenflow.operators.sessionize import sessionize
-from listenflow.session import materialize
+from listenflow.session import materialize_to_path
 from listenflow.sources.raw import read_raw
 
 # ---- fixed values of the table mapping (must not change) --------------------
@@ -159,14 +159,19 @@ def derive_plays(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 # plan_type = 'free', session_date >= cutoff or event_type = 'upgrade_click'
 # are pushed into the Parquet scans.  Tracks are a plain projection of part
 # and stay lazy.
-_LOADED: dict[tuple[str, str, str], DataFrame] = {}
+_LOADED: dict[tuple[str, str, str], str] = {}          # -> folder of the copy
+_OPENED: dict[tuple[int, str], DataFrame] = {}          # (session, folder) -> reader
 
 
 def _load_once(spark: SparkSession, sf_dir: str, what: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
     if key not in _LOADED:
-        _LOADED[key] = materialize(build())
-    return _LOADED[key]
+        _LOADED[key] = materialize_to_path(build())
+    path = _LOADED[key]
+    opened = _OPENED.get((id(spark), path))
+    if opened is None or opened.sparkSession is not spark:
+        opened = _OPENED[(id(spark), path)] = spark.read.parquet(path)
+    return opened
 
 
 def materialized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
