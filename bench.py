@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from listenflow import build_session  # noqa: E402
 from listenflow.plans.registry import QUERIES  # noqa: E402
+from listenflow.operators.ranking import release_held  # noqa: E402
 from listenflow.session import materialize  # noqa: E402
 from listenflow.sources.product import (derive_events, derive_plays, derive_sessions, derive_users,  # noqa: E402
                                        sessionized_events)
@@ -31,7 +32,8 @@ def load_step(spark, sf_dir):
     sessionize the event stream into events and sessions and join the plays,
     each written as Parquet (what the analyses of an application share)."""
     materialize(derive_users(read_raw(spark, sf_dir, "customer"), read_raw(spark, sf_dir, "nation")))
-    events = materialize(derive_events(sessionized_events(read_raw(spark, sf_dir, "events"))))
+    events = materialize(derive_events(sessionized_events(read_raw(spark, sf_dir, "events"), keep="cache")))
+    release_held()
     materialize(derive_sessions(events, ts="event_ts"))
     materialize(derive_plays(read_raw(spark, sf_dir, "lineitem"), read_raw(spark, sf_dir, "orders")))
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +45,34 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return left.join(r, cond, "inner").drop(*[f"_lf_r_{k}" for k in keys])
 
 
-def _segments(df: DataFrame, keys: Sequence[Column], n: int | None) -> DataFrame:
+# Segmented frames cached for the duration of one write (see _segments).
+_HELD: list[DataFrame] = []
+
+
+def release_held() -> None:
+    """Unpersist the segmented frames cached with ``keep="cache"``."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
+def _segments(df: DataFrame, keys: Sequence[Column], n: int | None, keep: str = "write") -> DataFrame:
+    """Range segments of ``df`` with their id in ``SEG``.
+
+    ``keep="write"`` (default, for lazily returned results) writes them as
+    Parquet.  ``keep="cache"`` is for a caller that consumes the result in a
+    single job and then calls :func:`release_held` (the load step): the
+    segments are cached instead; a lost block is recomputed through the same
+    range exchange, whose boundaries are fixed once per cached plan.
+    """
     spark = df.sparkSession
     if n is None:
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 spark.sparkContext.defaultParallelism)
     seg = df.repartitionByRange(n, *keys).withColumn(SEG, F.spark_partition_id())
+    if keep == "cache":
+        seg = seg.persist(StorageLevel.MEMORY_AND_DISK)
+        _HELD.append(seg)
+        return seg
     return materialize(seg)
 
 

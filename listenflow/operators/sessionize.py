@@ -19,12 +19,15 @@ from listenflow.operators.ranking import SEG, _segments, join_on_keys
 
 
 def sessionize(events: DataFrame, user: str, ts: str, order_id: str, gap_seconds: int,
-               out: str = "session_seq", segments: int | None = None) -> DataFrame:
-    """Add ``out`` = 1-based session number of each event within its user."""
+               out: str = "session_seq", segments: int | None = None, keep: str = "write") -> DataFrame:
+    """Add ``out`` = 1-based session number of each event within its user.
+
+    ``keep`` is passed to the segmenting step (see ``ranking._segments``).
+    """
     gap = F.lit(int(gap_seconds) * 1_000_000)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     base = events.withColumn("_lf_us", us)
-    seg = _segments(base, [F.col(user), F.col("_lf_us"), F.col(order_id)], segments)
+    seg = _segments(base, [F.col(user), F.col("_lf_us"), F.col(order_id)], segments, keep=keep)
     w = Window.partitionBy(SEG, user).orderBy("_lf_us", order_id)
     prev = F.lag("_lf_us").over(w)
     start = F.when(prev.isNull() | ((F.col("_lf_us") - prev) > gap), 1).otherwise(0)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenflow.functions.dates import elapsed_micros
+from listenflow.operators.ranking import release_held
 from listenflow.operators.sessionize import sessionize
 from listenflow.session import materialize_to_path
 from listenflow.sources.raw import read_raw
@@ -80,13 +81,13 @@ def derive_users(customer: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
-def sessionized_events(raw_events: DataFrame) -> DataFrame:
+def sessionized_events(raw_events: DataFrame, keep: str = "write") -> DataFrame:
     """Raw events with ``session_id`` (gap sessionization per user)."""
     ev = raw_events.select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("raw_type"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
-    ev = sessionize(ev, "user_id", "ts", "event_id", SESSION_GAP_SECONDS, out="session_seq")
+    ev = sessionize(ev, "user_id", "ts", "event_id", SESSION_GAP_SECONDS, out="session_seq", keep=keep)
     return ev.withColumn("session_id", F.col("user_id") * SESSION_ID_STRIDE + F.col("session_seq"))
 
 
@@ -166,7 +167,10 @@ _OPENED: dict[tuple[int, str], DataFrame] = {}          # (session, folder) -> r
 def _load_once(spark: SparkSession, sf_dir: str, what: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
     if key not in _LOADED:
-        _LOADED[key] = materialize_to_path(build())
+        try:
+            _LOADED[key] = materialize_to_path(build())
+        finally:
+            release_held()
     path = _LOADED[key]
     opened = _OPENED.get((id(spark), path))
     if opened is None or opened.sparkSession is not spark:
@@ -177,7 +181,8 @@ def _load_once(spark: SparkSession, sf_dir: str, what: str, build) -> DataFrame:
 def materialized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table (session id and product event type attached)."""
     return _load_once(spark, sf_dir, "events",
-                      lambda: derive_events(sessionized_events(read_raw(spark, sf_dir, "events"))))
+                      # segments only live for the one job that writes the events
+                      lambda: derive_events(sessionized_events(read_raw(spark, sf_dir, "events"), keep="cache")))
 
 
 def materialized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,13 @@ def test_sessionize_matches_window(spark):
             eid += 1
     rows.append((eid, 2, rows[-1][2]))       # a timestamp tie, ordered by event id
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
-    ours = {r.event_id: r.session_seq for r in sessionize(df, "user_id", "ts", "event_id", 4 * 3600,
-                                                          segments=11).collect()}
     ref = {r.event_id: r.seq for r in naive(df, 4 * 3600).collect()}
-    assert ours == ref
+    for keep in ("write", "cache"):
+        ours = {r.event_id: r.session_seq for r in sessionize(df, "user_id", "ts", "event_id", 4 * 3600,
+                                                              segments=11, keep=keep).collect()}
+        assert ours == ref, keep
+    from listenflow.operators.ranking import release_held
+    release_held()
 
 
 def test_sessionize_null_user_kept(spark):
