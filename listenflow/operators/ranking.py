@@ -45,6 +45,18 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return left.join(r, cond, "inner").drop(*[f"_lf_r_{k}" for k in keys])
 
 
+def segment_count(spark) -> int:
+    """Number of range segments: the shuffle width the session is sized for.
+
+    AQE cannot coalesce a range exchange with a fixed count, so take the
+    largest width the session allows (``initialPartitionNum`` when a cluster
+    sets it, else ``spark.sql.shuffle.partitions``), at least one per core.
+    """
+    width = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    width = int(width) if width else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, spark.sparkContext.defaultParallelism)
+
+
 # Segmented frames cached for the duration of one write (see _segments).
 _HELD: list[DataFrame] = []
 
@@ -66,8 +78,7 @@ def _segments(df: DataFrame, keys: Sequence[Column], n: int | None, keep: str =
     """
     spark = df.sparkSession
     if n is None:
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                spark.sparkContext.defaultParallelism)
+        n = segment_count(spark)
     seg = df.repartitionByRange(n, *keys).withColumn(SEG, F.spark_partition_id())
     if keep == "cache":
         seg = seg.persist(StorageLevel.MEMORY_AND_DISK)
