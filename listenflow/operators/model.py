@@ -63,6 +63,17 @@ def conversion_model(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES,
                          vector_to_array("probability")[1].alias("probability"))
 
 
+def holdout_auc(scored: DataFrame) -> DataFrame:
+    """AUC of the model's probability on the held-out users (one row)."""
+    return score_auc(scored.where(F.col("held_out")), "probability", "converted")
+
+
+def feature_importance_frame(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, **kw) -> DataFrame:
+    """(feature, importance) of the fitted trees, one row per model input."""
+    rows = feature_importance(features, cols, **kw)
+    return features.sparkSession.createDataFrame(rows, "feature string, importance double")
+
+
 def feature_importance(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, **kw) -> list[tuple[str, float]]:
     """Importances of the fitted trees (a small driver-side list of len(cols))."""
     from pyspark.ml.classification import GBTClassifier

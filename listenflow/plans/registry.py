@@ -97,9 +97,11 @@ QUERIES: dict[str, QueryFn] = {
             segments.free_user_tiers_corrected(t).select("user_id", "user_segment"), "user_id", "inner"),
         "user_segment")),
     "conversion_model": _q(lambda t: model.conversion_model(_nb(t))),
+    "conversion_model_auc": _q(lambda t: model.holdout_auc(model.conversion_model(_nb(t)))),
+    "conversion_model_importance": _q(lambda t: model.feature_importance_frame(_nb(t))),
 }
 
 # queries without a SQL oracle (iterative fit): the driver checks rows only
-NO_ORACLE = {"conversion_model"}
+NO_ORACLE = {"conversion_model", "conversion_model_auc", "conversion_model_importance"}
 
 FLAGSHIP = "funnel_overall"

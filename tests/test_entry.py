@@ -31,6 +31,13 @@ def test_oracle_agreement_small(spark, name):
     assert r["ok"], r
 
 
+def test_model_auc_and_importance(spark):
+    auc = E.queries()["conversion_model_auc"](spark, "/root/testdata/sf0.01").collect()
+    assert len(auc) == 1 and (auc[0].auc is None or 0.0 <= auc[0].auc <= 1.0)
+    imp = E.queries()["conversion_model_importance"](spark, "/root/testdata/sf0.01").collect()
+    assert len(imp) == 10 and abs(sum(r.importance for r in imp) - 1.0) < 1e-6
+
+
 def test_conversion_model_invariants(spark):
     df = E.queries()["conversion_model"](spark, "/root/testdata/sf0.01")
     rows = df.collect()

@@ -3,7 +3,7 @@
 import pytest
 
 from listenflow.operators import features, funnel, segments, validate
-from listenflow.plans.registry import QUERIES
+from listenflow.plans.registry import NO_ORACLE, QUERIES
 from tests.fixture_tables import fixture_tables
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ ONE_ROW_CROSS = {"engagement_qcut_segments", "segment_share", "upgrade_click_con
                  "dataset_summary"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"conversion_model"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_ORACLE))
 def test_plan_shape(spark, name):
     """No Cartesian product; nested loops only between one-row frames; every
     single-partition exchange sits on an aggregate that is not at user grain
