@@ -11,6 +11,7 @@ from listenflow.functions.dates import elapsed_days
 from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user, back_to_users, count_where
 from listenflow.operators.ranking import exact_percentiles
+from listenflow.session import materialize
 from listenflow.sources.product import ProductTables
 
 D7_DAYS = 7
@@ -184,7 +185,9 @@ def compare_converters_hist(features: DataFrame, cols: Sequence[str] = COMPARE_C
                             bins: int = HIST_BINS) -> DataFrame:
     """Per feature and group, ``bins`` equal-width bins over the group's own
     range (last bin closed), density-normalised; min = max widens by ±0.5."""
-    long = _long(features, cols, ["converted"])
+    # read twice (ranges, then bin counts): written once instead of re-running
+    # the feature pipeline
+    long = materialize(_long(features, cols, ["converted"]))
     stats = long.groupBy("feature", "converted").agg(
         F.min("value").alias("vmin"), F.max("value").alias("vmax"), F.count(F.lit(1)).cast("long").alias("n"))
     stats = stats.select("feature", "converted", "n",
@@ -214,7 +217,7 @@ def converter_medians(features: DataFrame, cols: Sequence[str] = COMPARE_COLUMNS
 
 def features_describe(features: DataFrame, cols: Sequence[str] = EXPORT_COLUMNS) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column, rounded to 2."""
-    long = _long(features, cols)
+    long = materialize(_long(features, cols))     # read by both the moments and the quartiles
     basic = long.groupBy("feature").agg(
         F.count(F.lit(1)).cast("long").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
