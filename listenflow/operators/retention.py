@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listenflow.functions.dates import week_start
 from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user
+from listenflow.session import materialize
 from listenflow.sources.product import ProductTables
 
 MAX_WEEK = 12
@@ -56,6 +57,7 @@ def _first_cohorts(retention: DataFrame, first_n: int) -> DataFrame:
 
 def cohort_matrix(retention: DataFrame, first_n: int = FIRST_COHORTS, max_week: int = MAX_WEEK) -> DataFrame:
     """Cohort × week pivot of retention %, earliest ``first_n`` cohorts; absent = NULL."""
+    retention = materialize(retention)     # ≤ cohorts × (max_week + 1) rows, read twice
     keep = F.broadcast(_first_cohorts(retention, first_n))
     r = retention.join(keep, "cohort_week", "inner")
     piv = r.groupBy("cohort_week").pivot("week_number", list(range(max_week + 1))) \
@@ -66,6 +68,7 @@ def cohort_matrix(retention: DataFrame, first_n: int = FIRST_COHORTS, max_week:
 
 def retention_curve(retention: DataFrame, first_n: int = FIRST_COHORTS) -> DataFrame:
     """Unweighted mean retention by week over the earliest ``first_n`` cohorts."""
+    retention = materialize(retention)     # ≤ cohorts × (max_week + 1) rows, read twice
     keep = F.broadcast(_first_cohorts(retention, first_n))
     r = retention.join(keep, "cohort_week", "inner")
     # the mean of doubles depends on summation order in its last bit; 9

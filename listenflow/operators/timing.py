@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listenflow.functions.dates import MICROS_PER_DAY, elapsed_micros
 from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators.ranking import exact_percentiles
+from listenflow.session import materialize
 from listenflow.sources.product import ProductTables
 
 
@@ -32,7 +33,7 @@ def _clickers(t: ProductTables) -> DataFrame:
 
 
 def upgrade_click_conversion(t: ProductTables) -> DataFrame:
-    c = _clickers(t)
+    c = materialize(_clickers(t))     # one row per clicker, read by the counts and by the median
     agg = c.agg(F.count(F.lit(1)).cast("long").alias("users_clicked_upgrade"),
                 F.sum(F.when(F.col("plan_type") == "premium", 1).otherwise(0)).cast("long").alias("converted"),
                 F.avg("days_click_to_convert").alias("_avg"))
