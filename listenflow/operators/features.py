@@ -42,14 +42,17 @@ def _window_sessions(t: ProductTables, days: int) -> DataFrame:
     return attach_user(s, t.users, ["signup_date"], condition=_in_window("session_date", days))
 
 
+def _session_feature_aggs() -> list:
+    return [F.countDistinct("session_id").cast("long").alias("sessions_d7"),
+            F.sum("session_duration_sec").cast("long").alias("total_listen_sec_d7"),
+            F.avg("session_duration_sec").alias("avg_session_sec_d7"),
+            F.countDistinct("session_date").cast("long").alias("distinct_days_active_d7"),
+            F.countDistinct("device_type").cast("long").alias("distinct_devices_d7")]
+
+
 def _session_aggs(t: ProductTables, days: int) -> DataFrame:
     """Per user with an in-window session: the five session features."""
-    return _window_sessions(t, days).groupBy("user_id").agg(
-        F.countDistinct("session_id").cast("long").alias("sessions_d7"),
-        F.sum("session_duration_sec").cast("long").alias("total_listen_sec_d7"),
-        F.avg("session_duration_sec").alias("avg_session_sec_d7"),
-        F.countDistinct("session_date").cast("long").alias("distinct_days_active_d7"),
-        F.countDistinct("device_type").cast("long").alias("distinct_devices_d7"))
+    return _window_sessions(t, days).groupBy("user_id").agg(*_session_feature_aggs())
 
 
 SESSION_COUNTS = ("sessions_d7", "distinct_days_active_d7", "distinct_devices_d7")
@@ -80,6 +83,16 @@ def _event_aggs(t: ProductTables, days: int) -> DataFrame:
     return s.groupBy("user_id").agg(*[F.sum(f"n_{et}").cast("long").alias(name) for et, name in EVENT_FEATURES])
 
 
+def _session_and_event_aggs(t: ProductTables, days: int) -> DataFrame:
+    """Session features and event counts in one pass over the in-window
+    sessions: per-session event counts (one row per session) are attached
+    first, so durations are not repeated per event."""
+    ev = _events_per_session(t, [et for et, _ in EVENT_FEATURES])
+    s = _window_sessions(t, days).join(ev, "session_id", "left")
+    return s.groupBy("user_id").agg(*_session_feature_aggs(),
+                                    *[F.sum(f"n_{et}").cast("long").alias(name) for et, name in EVENT_FEATURES])
+
+
 def d7_event_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
     out = back_to_users(t.users.select("user_id"), _event_aggs(t, days), EVENT_COUNTS)
     return out.select("user_id", *EVENT_COUNTS)
@@ -119,11 +132,10 @@ def _ratios() -> list:
 
 
 def user_day7_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
-    """The 25-column feature table, one row per user: the three per-user
-    aggregates joined once each onto the users (all 1:1)."""
+    """The 25-column feature table, one row per user: the session+event and
+    the track aggregates joined once each onto the users (all 1:1)."""
     u = t.users.select("user_id", "plan_type")
-    j = u.join(_session_aggs(t, days), "user_id", "left") \
-         .join(_event_aggs(t, days), "user_id", "left") \
+    j = u.join(_session_and_event_aggs(t, days), "user_id", "left") \
          .join(_track_aggs(t, days), "user_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     j = j.select("user_id", "plan_type",
