@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from listenflow.functions.numeric import round_half_away
 from listenflow.functions.stats import Z_95, two_sided_p
-from listenflow.operators._user import back_to_users
-from listenflow.operators.funnel import _session_counts
+from listenflow.operators._user import attach_user, back_to_users
 from listenflow.sources.product import ProductTables
 
 ACTIVATION = (30, 5)
@@ -24,12 +23,20 @@ ACTIVATION = (30, 5)
 def experiment_frame(t: ProductTables, activation: tuple[int, int] = ACTIVATION) -> DataFrame:
     """One row per user: arm, activated (0/1), guardrail metrics."""
     days, min_sessions = activation
-    counts = _session_counts(t, [(days, min_sessions)])
-    dur = t.sessions.groupBy("user_id").agg(F.avg("session_duration_sec").alias("avg_session_sec"))
-    u = back_to_users(t.users.select("user_id"), counts, ["n_sessions", f"n_d{days}"])
-    u = u.join(dur, "user_id", "left")
+    # one pass over sessions: per (user, session) the first date and the
+    # duration sum/count, so the per-user mean duration stays exact
+    s = (t.sessions.groupBy("user_id", "session_id")
+         .agg(F.min("session_date").alias("first_date"),
+              F.sum("session_duration_sec").alias("dur"), F.count(F.lit(1)).alias("rows")))
+    s = attach_user(s, t.users, ["signup_date"])
+    per_user = s.groupBy("user_id").agg(
+        F.count("session_id").cast("long").alias("n_sessions"),
+        F.count(F.when(F.col("session_id").isNotNull()
+                       & (F.col("first_date") <= F.date_add("signup_date", days)), 1)).cast("long").alias("n_act"),
+        (F.sum("dur") / F.sum("rows")).alias("avg_session_sec"))
+    u = back_to_users(t.users.select("user_id"), per_user, ["n_sessions", "n_act"])
     return u.select("user_id", (F.col("user_id") % 2).cast("int").alias("arm"),
-                    F.when(F.col(f"n_d{days}") >= min_sessions, 1).otherwise(0).alias("activated"),
+                    F.when(F.col("n_act") >= min_sessions, 1).otherwise(0).alias("activated"),
                     F.col("n_sessions").alias("sessions"), "avg_session_sec")
 
 
