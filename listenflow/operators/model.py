@@ -39,26 +39,36 @@ def score_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return tot.select("n_pos", "n_neg", round_half_away(auc, 6).alias("auc"))
 
 
-def conversion_model(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, holdout: float = 0.2,
-                     max_iter: int = 20, seed: int = 42) -> DataFrame:
-    """Gradient-boosted trees on the day-7 features; returns every user's
-    conversion probability and whether the user was held out."""
+def _model_input(features: DataFrame, cols: Sequence[str], holdout: float) -> DataFrame:
+    return features.select("user_id", F.col("converted").cast("double").alias("label"),
+                           *[F.col(c).cast("double").alias(c) for c in cols]) \
+                   .withColumn("held_out", holdout_flag("user_id", holdout))
+
+
+def fit_conversion_model(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, holdout: float = 0.2,
+                         max_iter: int = 20, seed: int = 42):
+    """Fit Imputer → VectorAssembler → GBTClassifier on the users not held out."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     cols = list(cols)
-    data = features.select("user_id", F.col("converted").cast("double").alias("label"),
-                           *[F.col(c).cast("double").alias(c) for c in cols]) \
-                   .withColumn("held_out", holdout_flag("user_id", holdout))
     imputed = [f"{c}_i" for c in cols]
     pipe = Pipeline(stages=[Imputer(inputCols=cols, outputCols=imputed, strategy="median"),
                             VectorAssembler(inputCols=imputed, outputCol="features"),
                             GBTClassifier(labelCol="label", featuresCol="features", maxIter=max_iter,
                                           maxDepth=4, seed=seed)])
-    model = pipe.fit(data.where(~F.col("held_out")))
-    scored = model.transform(data)
+    return pipe.fit(_model_input(features, cols, holdout).where(~F.col("held_out")))
+
+
+def conversion_model(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, holdout: float = 0.2,
+                     max_iter: int = 20, seed: int = 42, fitted=None) -> DataFrame:
+    """Gradient-boosted trees on the day-7 features; returns every user's
+    conversion probability and whether the user was held out."""
+    from pyspark.ml.functions import vector_to_array
+
+    fitted = fitted or fit_conversion_model(features, cols, holdout, max_iter, seed)
+    scored = fitted.transform(_model_input(features, list(cols), holdout))
     return scored.select("user_id", F.col("label").cast("int").alias("converted"), "held_out",
                          vector_to_array("probability")[1].alias("probability"))
 
@@ -68,21 +78,15 @@ def holdout_auc(scored: DataFrame) -> DataFrame:
     return score_auc(scored.where(F.col("held_out")), "probability", "converted")
 
 
-def feature_importance_frame(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, **kw) -> DataFrame:
-    """(feature, importance) of the fitted trees, one row per model input."""
-    rows = feature_importance(features, cols, **kw)
-    return features.sparkSession.createDataFrame(rows, "feature string, importance double")
+def feature_importance_frame(fitted, spark, cols: Sequence[str] = MODEL_FEATURES) -> DataFrame:
+    """(feature, importance) of a fitted pipeline's trees, one row per input."""
+    imp = fitted.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(cols, imp)), "feature string, importance double")
 
 
 def feature_importance(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, **kw) -> list[tuple[str, float]]:
-    """Importances of the fitted trees (a small driver-side list of len(cols))."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    cols = list(cols)
-    data = features.select(F.col("converted").cast("double").alias("label"),
-                           *[F.col(c).cast("double").alias(c) for c in cols])
-    data = Imputer(inputCols=cols, outputCols=cols, strategy="median").fit(data).transform(data)
-    data = VectorAssembler(inputCols=cols, outputCol="features").transform(data)
-    m = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=4, maxIter=kw.get("max_iter", 20),
-                      seed=kw.get("seed", 42)).fit(data)
-    return sorted(zip(cols, m.featureImportances.toArray().tolist()), key=lambda x: -x[1])
+    """Importances of the model fitted on ``features``, largest first (a
+    driver-side list of len(cols))."""
+    fitted = fit_conversion_model(features, cols, **kw)
+    imp = fitted.stages[-1].featureImportances.toArray().tolist()
+    return sorted(zip(cols, imp), key=lambda x: -x[1])

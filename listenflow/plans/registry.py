@@ -35,6 +35,21 @@ def _nb(t):
     return features.notebook_features(t)
 
 
+# the model is fitted once per (application, source folder) and shared by the
+# three model queries
+_FITTED: dict[tuple[str, str], object] = {}
+
+
+def _model_q(make):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load_product_tables(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in _FITTED:
+            _FITTED[key] = model.fit_conversion_model(_nb(t))
+        return make(spark, t, _FITTED[key])
+    return run
+
+
 QUERIES: dict[str, QueryFn] = {
     # 1 funnel
     "funnel_overall": _q(funnel.funnel_overall),
@@ -96,9 +111,9 @@ QUERIES: dict[str, QueryFn] = {
         experiment.experiment_frame(t).join(
             segments.free_user_tiers_corrected(t).select("user_id", "user_segment"), "user_id", "inner"),
         "user_segment")),
-    "conversion_model": _q(lambda t: model.conversion_model(_nb(t))),
-    "conversion_model_auc": _q(lambda t: model.holdout_auc(model.conversion_model(_nb(t)))),
-    "conversion_model_importance": _q(lambda t: model.feature_importance_frame(_nb(t))),
+    "conversion_model": _model_q(lambda s, t, m: model.conversion_model(_nb(t), fitted=m)),
+    "conversion_model_auc": _model_q(lambda s, t, m: model.holdout_auc(model.conversion_model(_nb(t), fitted=m))),
+    "conversion_model_importance": _model_q(lambda s, t, m: model.feature_importance_frame(m, s)),
 }
 
 # queries without a SQL oracle (iterative fit): the driver checks rows only
