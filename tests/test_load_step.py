@@ -14,3 +14,15 @@ def test_materialized_tables_equal_lazy_derivation(spark):
         assert set(b.columns) - {"session_seq"} <= set(a.columns), name
         assert a.count() == b.count(), name
         assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0, name
+
+
+def test_new_session_and_drop(spark):
+    from listenflow.plans.registry import QUERIES
+    from listenflow.session import drop_materialized
+    a = sorted(map(tuple, QUERIES["funnel_overall"](spark, SF).collect()), key=str)
+    other = spark.newSession()
+    b = sorted(map(tuple, QUERIES["funnel_overall"](other, SF).collect()), key=str)
+    assert a == b
+    drop_materialized(spark)
+    c = sorted(map(tuple, QUERIES["funnel_overall"](spark, SF).collect()), key=str)
+    assert a == c
