@@ -41,6 +41,11 @@ def rows_of(cols, rows, digits):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+# Spark simple type names → DuckDB type names
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+              "boolean": "BOOLEAN", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark, name, fn, sql, sf_dir, con, digits=None):
     digits = int(os.environ.get("LF_DIGITS", "9")) if digits is None else digits
     t0 = time.time()
@@ -50,16 +55,22 @@ def compare(spark, name, fn, sql, sf_dir, con, digits=None):
     t1 = time.time()
     rel = con.sql(sql)
     d_cols = [c for c in rel.columns]
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     d_rows = rel.fetchall()
+    s_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
     res = {"name": name, "spark_rows": len(s_rows), "oracle_rows": len(d_rows), "spark_sec": round(t1 - t0, 2)}
     res["cols_match"] = sorted(s_cols) == sorted(d_cols)
+    res["types_match"] = s_types == d_types
+    if not res["types_match"]:
+        res["types"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                        if s_types.get(c) != d_types.get(c)}
     if not res["cols_match"]:
         res["cols"] = (sorted(set(s_cols) - set(d_cols)), sorted(set(d_cols) - set(s_cols)))
         res["ok"] = False
         return res
     a, b = rows_of(s_cols, s_rows, digits), rows_of(d_cols, d_rows, digits)
     res["values_match"] = a == b
-    res["ok"] = res["values_match"] and len(s_rows) == len(d_rows)
+    res["ok"] = res["values_match"] and res["types_match"] and len(s_rows) == len(d_rows)
     if not res["ok"]:
         diffs = [(x, y) for x, y in zip(a, b) if x != y][:3]
         res["first_diffs"] = diffs
