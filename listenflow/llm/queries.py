@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from listenflow.llm.bpe_fst import op9_query
 from listenflow.llm.exact_dedup import OP5_SQL, op5_query
+from listenflow.llm.quality_rules import op3_query
 from listenflow.llm.secret_scan import op8_query
 from listenflow.llm.toxicity import op10_query
 
 QUERIES = {
+    "op3_quality_rules": op3_query,
     "op5_exact_dedup": op5_query,
     "op8_secret_scan": op8_query,
     "op9_bpe": op9_query,
