@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from listenflow.llm.bpe_fst import op9_query
 from listenflow.llm.exact_dedup import OP5_SQL, op5_query
+from listenflow.llm.pii import op1_query
 from listenflow.llm.quality_cnn import op4_query
 from listenflow.llm.quality_rules import op3_query
 from listenflow.llm.secret_scan import op8_query
 from listenflow.llm.toxicity import op10_query
 
 QUERIES = {
+    "op1_pii": op1_query,
     "op3_quality_rules": op3_query,
     "op4_quality_cnn": op4_query,
     "op5_exact_dedup": op5_query,
