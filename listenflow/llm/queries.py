@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from listenflow.llm.bpe_fst import op9_query
 from listenflow.llm.exact_dedup import OP5_SQL, op5_query
+from listenflow.llm.jaccard_join import OP7_SQL, op7_query
 from listenflow.llm.pii import op1_query
 from listenflow.llm.quality_cnn import op4_query
 from listenflow.llm.quality_rules import op3_query
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_quality_rules": op3_query,
     "op4_quality_cnn": op4_query,
     "op5_exact_dedup": op5_query,
+    "op7_jaccard_join": op7_query,
     "op8_secret_scan": op8_query,
     "op9_bpe": op9_query,
     "op10_toxicity": op10_query,
@@ -22,4 +24,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
+    "op7_jaccard_join": OP7_SQL,
 }
