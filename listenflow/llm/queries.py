@@ -5,6 +5,7 @@ from __future__ import annotations
 from listenflow.llm.bpe_fst import op9_query
 from listenflow.llm.exact_dedup import OP5_SQL, op5_query
 from listenflow.llm.jaccard_join import OP7_SQL, op7_query
+from listenflow.llm.packing import op6_query
 from listenflow.llm.pii import op1_query
 from listenflow.llm.quality_cnn import op4_query
 from listenflow.llm.quality_rules import op3_query
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality_rules": op3_query,
     "op4_quality_cnn": op4_query,
     "op5_exact_dedup": op5_query,
+    "op6_packing": op6_query,
     "op7_jaccard_join": op7_query,
     "op8_secret_scan": op8_query,
     "op9_bpe": op9_query,
