@@ -149,14 +149,27 @@ def _price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
-def _start(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A first basis: fill a sequence with the largest classes that still have
+def _through(inverse: np.ndarray, column: np.ndarray) -> np.ndarray:
+    held = np.flatnonzero(column)
+    return (inverse[:, held] * column[held]).sum(axis=1)
+
+
+def _replace(inverse: np.ndarray, d: np.ndarray, out: int) -> None:
+    """The basis inverse after column ``out`` was replaced (``d``: inverse times the new one)."""
+    pivot = inverse[out] / d[out]
+    inverse -= np.outer(d, pivot)
+    inverse[out] = pivot
+
+
+def _start(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A first basis, its inverse and its counts: fill a sequence with the largest classes that still have
     pieces, use that pattern until one class is used up, and go on.  A class
     that is used up occurs in no later pattern, so the patterns are a
     triangular basis, column ``c`` being the one that used up class ``c``."""
     m = len(sizes)
     left, done = demand.copy(), np.zeros(m, bool)
     basis, x = np.diag((capacity // sizes).astype(float)), np.zeros(m)
+    inverse = np.diag(1.0 / (capacity // sizes))
     for _ in range(m):
         column, room = np.zeros(m), capacity
         for c in np.flatnonzero(~done & (left > 1e-9))[::-1]:
@@ -170,8 +183,9 @@ def _start(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nda
         x[out] = left[out] / column[out]
         left = np.maximum(left - x[out] * column, 0)
         left[out], done[out] = 0, True
+        _replace(inverse, _through(inverse, column), out)
         basis[:, out] = column
-    return basis, x
+    return basis, inverse, x
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
@@ -183,8 +197,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     m = len(sizes)
     # tiny differences keep the simplex from standing still on ties
     demand = demand + 1e-3 * (1 + np.arange(m) % 97 / 97 + np.arange(m) / m)
-    patterns, x = _start(sizes, demand, capacity)
-    inverse = np.linalg.inv(patterns)
+    patterns, inverse, x = _start(sizes, demand, capacity)
     bound = float(demand @ sizes) / capacity
     for _ in range(m):
         duals = np.maximum(inverse.sum(axis=0), 0)      # every pattern costs one sequence
@@ -194,16 +207,14 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
         bound = max(bound, float(duals @ demand) / value)
         if x.sum() - bound <= max(gap * x.sum(), 1.0):
             break
-        d = inverse @ column
+        d = _through(inverse, column)
         rows = np.flatnonzero(d > 1e-9)
         ratio = x[rows] / d[rows]
         step = ratio.min()
         out = rows[ratio.argmin()]
         x = np.maximum(x - step * d, 0)
         x[out] = step
-        pivot = inverse[out] / d[out]
-        inverse -= np.outer(d, pivot)
-        inverse[out] = pivot
+        _replace(inverse, d, out)
         patterns[:, out] = column
     return patterns, x
 
