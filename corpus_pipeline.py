@@ -7,8 +7,9 @@ result is written as Parquet and read again as the next stage's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listenflow.llm import exact_dedup, toxicity
+from listenflow.llm import exact_dedup, jaccard_join, packing, secret_scan, toxicity
 from listenflow.llm.common import prepare, table
 from listenflow.session import materialize
 
@@ -25,9 +26,35 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    prepare(spark)
+    return jaccard_join.keep_one_per_group(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked and ``n_chars`` follows; no document goes."""
+    prepare(spark)
+    masked = secret_scan.mask_secrets(docs)
+    if "n_chars" not in masked.columns:
+        return masked
+    kind = masked.schema["n_chars"].dataType
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
+                             .otherwise(F.char_length("text")).cast(kind))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
 STAGES = [
     ("toxicity", remove_toxic),
     ("exact dedup", remove_exact_copies),
+    ("n-gram Jaccard join", remove_near_copies),
+    ("secret scans", mask_secrets),
+    ("packing", pack_sequences),
 ]
 
 

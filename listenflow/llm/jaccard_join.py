@@ -228,6 +228,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, all columns.
+
+    Rows that share an id stay or go together: they go when none of them
+    leads its component.  Rows with a null id stay.
+    """
+    found = link_components(docs, id_col, text_col, similarity, shingle)
+    gone = (found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("leads"))
+            .where("not leads").select(F.col("doc_id").alias("_lf_gone")))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_lf_gone"), "left_anti")
+
+
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return link_components(table(spark, sf_dir, "documents"))
