@@ -29,6 +29,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the Python-side operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # shuffle files go when the job that made them has ended; every frame read
+    # twice is written to the shared folder instead
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 

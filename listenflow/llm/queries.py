@@ -10,10 +10,12 @@ from listenflow.llm.pii import op1_query
 from listenflow.llm.quality_cnn import op4_query
 from listenflow.llm.quality_rules import op3_query
 from listenflow.llm.secret_scan import op8_query
+from listenflow.llm.substring_dedup import OP2_SQL, op2_query
 from listenflow.llm.toxicity import op10_query
 
 QUERIES = {
     "op1_pii": op1_query,
+    "op2_substring_dedup": op2_query,
     "op3_quality_rules": op3_query,
     "op4_quality_cnn": op4_query,
     "op5_exact_dedup": op5_query,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_jaccard_join": OP7_SQL,
 }
