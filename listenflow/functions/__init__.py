@@ -1,7 +1,6 @@
 """Scalar Column helpers (JVM-side expressions only, no Python UDFs)."""
 
-from listenflow.functions.numeric import pct, round_half_away, ratio_or_null
-from listenflow.functions.dates import week_start, days_between, elapsed_days, elapsed_micros
+from listenflow.functions.numeric import pct, round_half_away
+from listenflow.functions.dates import week_start, elapsed_days, elapsed_micros
 
-__all__ = ["pct", "round_half_away", "ratio_or_null", "week_start", "days_between",
-           "elapsed_days", "elapsed_micros"]
+__all__ = ["pct", "round_half_away", "week_start", "elapsed_days", "elapsed_micros"]

@@ -17,11 +17,6 @@ def week_start(x) -> Column:
     return F.date_trunc("week", _c(x).cast("timestamp")).cast("date")
 
 
-def days_between(start, end) -> Column:
-    """Whole calendar days ``end - start`` for DATE inputs (may be negative)."""
-    return F.datediff(_c(end), _c(start))
-
-
 def elapsed_micros(start, end) -> Column:
     """``end - start`` in microseconds; DATEs count as midnight UTC."""
     return F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))

@@ -38,9 +38,3 @@ def round_half_away(x, dp: int) -> Column:
     x = _c(x).cast("double")
     p = float(10 ** dp)
     return F.signum(x) * F.floor(F.abs(x) * F.lit(p) + F.lit(0.5)) / F.lit(p)
-
-
-def ratio_or_null(num, den, scale: float = 100.0) -> Column:
-    """``scale * num / den`` when ``den > 0`` else NULL (CASE WHEN den > 0 ...)."""
-    num, den = _c(num), _c(den)
-    return F.when(den > 0, F.lit(scale) * num.cast("double") / den.cast("double"))

@@ -43,7 +43,7 @@ def _window_sessions(t: ProductTables, days: int) -> DataFrame:
 
 
 def _session_feature_aggs() -> list:
-    return [F.countDistinct("session_id").cast("long").alias("sessions_d7"),
+    return [F.count("session_id").cast("long").alias("sessions_d7"),        # one row per session
             F.sum("session_duration_sec").cast("long").alias("total_listen_sec_d7"),
             F.avg("session_duration_sec").alias("avg_session_sec_d7"),
             F.countDistinct("session_date").cast("long").alias("distinct_days_active_d7"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listenflow.functions.numeric import round_half_away
-from listenflow.operators.ranking import row_number_within
+from listenflow.operators.ranking import running_counts
 
 # fixed: model inputs (the exported day-7 features without id and label)
 MODEL_FEATURES = ("sessions_d7", "total_listen_min_d7", "avg_session_min_d7", "distinct_days_d7",
@@ -27,10 +27,11 @@ def score_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     scores sharing their average rank.  One row: n_pos, n_neg, auc."""
     d = df.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y")) \
           .where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
-    r = row_number_within(d, [F.col("_s").asc(), F.col("_y").asc()], out="_r")
-    per_score = r.groupBy("_s").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"),
-                                    F.sum("_y").cast("long").alias("pos"),
-                                    F.count(F.lit(1)).cast("long").alias("cnt"))
+    # one row per distinct score first: ties then share one row, not one task
+    counts = d.groupBy("_s").agg(F.sum("_y").cast("long").alias("pos"), F.count(F.lit(1)).cast("long").alias("cnt"))
+    ranked = running_counts(counts, "_s", ["cnt"])
+    per_score = ranked.select("pos", "cnt", (F.col("cnt_upto") - F.col("cnt") + 1).alias("lo"),
+                              F.col("cnt_upto").alias("hi"))
     tot = per_score.agg(F.sum(F.col("pos") * (F.col("lo") + F.col("hi")) / F.lit(2.0)).alias("rank_sum"),
                         F.sum("pos").cast("long").alias("n_pos"),
                         (F.sum("cnt") - F.sum("pos")).cast("long").alias("n_neg"))
@@ -82,11 +83,3 @@ def feature_importance_frame(fitted, spark, cols: Sequence[str] = MODEL_FEATURES
     """(feature, importance) of a fitted pipeline's trees, one row per input."""
     imp = fitted.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(cols, imp)), "feature string, importance double")
-
-
-def feature_importance(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES, **kw) -> list[tuple[str, float]]:
-    """Importances of the model fitted on ``features``, largest first (a
-    driver-side list of len(cols))."""
-    fitted = fit_conversion_model(features, cols, **kw)
-    imp = fitted.stages[-1].featureImportances.toArray().tolist()
-    return sorted(zip(cols, imp), key=lambda x: -x[1])

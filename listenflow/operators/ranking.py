@@ -87,6 +87,14 @@ def _segments(df: DataFrame, keys: Sequence[Column], n: int | None, keep: str =
     return materialize(seg)
 
 
+def _with_offsets(local: DataFrame, offsets: DataFrame, group_by: Sequence[str]) -> DataFrame:
+    """Attach the offsets of each segment.  Without groups there is one row
+    per segment, a number the session fixes, so it is broadcast."""
+    if not group_by:
+        return local.join(F.broadcast(offsets), SEG)
+    return join_on_keys(local, offsets, [SEG, *group_by])
+
+
 def _ranked(df: DataFrame, order_by: Sequence, group_by: Sequence[str], out: str,
             total: str | None, segments: int | None) -> DataFrame:
     order = _cols(order_by)
@@ -101,7 +109,7 @@ def _ranked(df: DataFrame, order_by: Sequence, group_by: Sequence[str], out: str
     extra = [F.sum("_lf_cnt").over(grp).cast("long").alias(total)] if total else []
     offsets = counts.select(SEG, *group_by,
                             F.coalesce(F.sum("_lf_cnt").over(before), F.lit(0)).alias("_lf_off"), *extra)
-    joined = join_on_keys(local, offsets, [SEG, *group_by])
+    joined = _with_offsets(local, offsets, group_by)
     keep = [c for c in joined.columns if c not in (SEG, "_lf_local", "_lf_off")]
     return joined.select(*keep, (F.col("_lf_off") + F.col("_lf_local")).cast("long").alias(out))
 
@@ -142,37 +150,56 @@ def exact_ntile(df: DataFrame, n: int, order_by: Sequence, out: str = "ntile",
     return ranked.select(*keep, ntile_from_rank("_lf_rank", "_lf_total", n).alias(out))
 
 
+def running_counts(values: DataFrame, value: str, weights: Sequence[str], group_by: Sequence[str] = (),
+                   segments: int | None = None) -> DataFrame:
+    """Cumulative and total sums of ``weights`` per distinct value.
+
+    ``values`` holds one row per (group, value).  Adds ``<weight>_upto`` (sum
+    over the group's values up to this one) and ``<weight>_total``.  The rows
+    are distinct, so range segments balance however many ties the data has.
+    """
+    group_by = list(group_by)
+    seg = _segments(values, _cols(group_by) + [F.col(value)], segments)
+    w = Window.partitionBy(SEG, *group_by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = seg.select("*", *[F.sum(c).over(w).alias(f"_lf_in_{c}") for c in weights])
+    sums = seg.groupBy(SEG, *group_by).agg(*[F.sum(c).alias(c) for c in weights])
+    grp = Window.partitionBy(*group_by)
+    before = grp.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(SEG, *group_by, *[x for c in weights for x in (
+        F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_lf_off_{c}"),
+        F.sum(c).over(grp).alias(f"{c}_total"))])
+    joined = _with_offsets(local, offsets, group_by)
+    return joined.select(*values.columns, *[x for c in weights for x in (
+        (F.col(f"_lf_in_{c}") + F.col(f"_lf_off_{c}")).alias(f"{c}_upto"), F.col(f"{c}_total"))])
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
                       group_by: Sequence[str] = (), segments: int | None = None) -> DataFrame:
     """Linear-interpolated percentiles (``percentile_cont``) per group, exact.
 
-    NULL values are ignored.  Only the (at most two) rows around each requested
-    position leave the ranking step, so no group is ever gathered in one task.
-    Returns one row per group that has a non-null value, with columns
-    ``group_by + names``.
+    NULL values are ignored.  Rows are first reduced to one per (group, value)
+    with its count, so neither ties nor a large group are gathered in one
+    task; only the (at most two) values around each requested position leave
+    the ranking step.  Returns one row per group that has a non-null value,
+    with columns ``group_by + names``.
     """
     group_by = list(group_by)
-    vals = df.select(*group_by, F.col(value).cast("double").alias("_lf_v")).where(F.col("_lf_v").isNotNull())
-    ranked = row_number_within(vals, [F.col("_lf_v").asc()], group_by, out="_lf_r", segments=segments,
-                               total="_lf_n")
-    pos_cols = []
+    counts = (df.select(*group_by, F.col(value).cast("double").alias("_lf_v")).where(F.col("_lf_v").isNotNull())
+              .groupBy(*group_by, "_lf_v").agg(F.count(F.lit(1)).alias("_lf_n")))
+    ranked = running_counts(counts, "_lf_v", ["_lf_n"], group_by, segments)
+    last = F.col("_lf_n_upto")
+    first = last - F.col("_lf_n") + 1
+    total = F.col("_lf_n_total")
+    aggs, wanted = [], F.lit(False)
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_lf_n") - 1)
-        pos_cols += [(F.floor(pos) + 1).cast("long").alias(f"_lf_lo{i}"),
-                     (F.ceil(pos) + 1).cast("long").alias(f"_lf_hi{i}"),
-                     (pos - F.floor(pos)).alias(f"_lf_fr{i}")]
-    joined = ranked.select("*", *pos_cols)
-    wanted = None
-    for i in range(len(probs)):
-        c = (F.col("_lf_r") == F.col(f"_lf_lo{i}")) | (F.col("_lf_r") == F.col(f"_lf_hi{i}"))
-        wanted = c if wanted is None else (wanted | c)
-    picked = joined.where(wanted)
-    aggs = []
-    for i in range(len(probs)):
-        aggs += [F.max(F.when(F.col("_lf_r") == F.col(f"_lf_lo{i}"), F.col("_lf_v"))).alias(f"_lf_a{i}"),
-                 F.max(F.when(F.col("_lf_r") == F.col(f"_lf_hi{i}"), F.col("_lf_v"))).alias(f"_lf_b{i}"),
-                 F.max(f"_lf_fr{i}").alias(f"_lf_f{i}")]
-    out = picked.groupBy(*group_by).agg(*aggs)
+        pos = F.lit(float(p)) * (total - 1)
+        low, high = (F.floor(pos) + 1).cast("long"), (F.ceil(pos) + 1).cast("long")
+        at_low, at_high = low.between(first, last), high.between(first, last)
+        wanted = wanted | at_low | at_high
+        aggs += [F.max(F.when(at_low, F.col("_lf_v"))).alias(f"_lf_a{i}"),
+                 F.max(F.when(at_high, F.col("_lf_v"))).alias(f"_lf_b{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"_lf_f{i}")]
+    out = ranked.where(wanted).groupBy(*group_by).agg(*aggs)
     return out.select(*group_by, *[
         (F.col(f"_lf_a{i}") + F.col(f"_lf_f{i}") * (F.col(f"_lf_b{i}") - F.col(f"_lf_a{i}"))).alias(name)
         for i, name in enumerate(names)])

@@ -1,4 +1,8 @@
-"""Named queries: each takes (spark, sf_dir) and returns a lazy DataFrame.
+"""Named queries: each takes (spark, sf_dir) and returns a DataFrame.
+
+Planning a query may already run jobs: what several queries share (the load
+step, the feature tables) is stored on first use, and rankings write their
+range segments.
 
 The names are the keys of ``__spark_entry__.queries()``; the DuckDB oracle in
 ``oracle/`` has a statement for each name that SQL can express.
@@ -7,6 +11,8 @@ The names are the keys of ``__spark_entry__.queries()``; the DuckDB oracle in
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +20,9 @@ from pyspark.sql import functions as F
 
 from listenflow.operators import (churn, content, experiment, features, funnel, model, retention,
                                   segments, timing, validate)
-from listenflow.sources.product import load_product_tables
+from listenflow.session import checkpoint_dir
+from listenflow.sources.sinks import export_features_csv, save_feature_table
+from listenflow.sources.product import load_product_tables, stored
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +40,13 @@ def _q(fn) -> QueryFn:
 
 
 def _nb(t):
-    return features.notebook_features(t)
+    """The notebook feature frame, stored once and read by every query of it."""
+    return stored(t, "notebook_features", lambda: features.notebook_features(t))
+
+
+def _d7(t):
+    """The day-7 feature table, stored once and read by every query of it."""
+    return stored(t, "user_day7_features", lambda: features.user_day7_features(t))
 
 
 # the model is fitted once per (application, source folder) and shared by the
@@ -77,8 +91,8 @@ QUERIES: dict[str, QueryFn] = {
     "features_describe": _q(lambda t: features.features_describe(_nb(t))),
     "compare_converters_hist": _q(lambda t: features.compare_converters_hist(_nb(t))),
     "converter_medians": _q(lambda t: features.converter_medians(_nb(t))),
-    "converter_ratio_table": _q(lambda t: features.converter_ratio_table(features.user_day7_features(t))),
-    "feature_conversion_corr": _q(lambda t: features.feature_conversion_corr(features.user_day7_features(t))),
+    "converter_ratio_table": _q(lambda t: features.converter_ratio_table(_d7(t))),
+    "feature_conversion_corr": _q(lambda t: features.feature_conversion_corr(_d7(t))),
     # 4 segments
     "free_user_tiers": _q(segments.free_user_tiers),
     "free_user_tiers_corrected": _q(segments.free_user_tiers_corrected),
@@ -116,6 +130,27 @@ QUERIES: dict[str, QueryFn] = {
     "conversion_model_importance": _model_q(lambda s, t, m: model.feature_importance_frame(m, s)),
 }
 
+
+def feature_table_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table saved if it is not there yet, then read back."""
+    tag = hashlib.md5(f"{spark.sparkContext.applicationId} {sf_dir.rstrip('/')}".encode()).hexdigest()[:12]
+    name = f"user_day7_features_{tag}"
+    save_feature_table(_d7(load_product_tables(spark, sf_dir)), name,
+                       path=f"{checkpoint_dir(spark).rstrip('/')}/listenflow/{name}")
+    return spark.table(name)
+
+
+def feature_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported CSV files, read back with the frame's schema."""
+    frame = features.feature_export(_nb(load_product_tables(spark, sf_dir)))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/listenflow/{uuid.uuid4().hex}"
+    export_features_csv(frame, path)
+    return spark.read.schema(frame.schema).option("header", True).csv(path)
+
+
+QUERIES["feature_table_stored"] = feature_table_stored
+QUERIES["feature_export_csv"] = feature_export_csv
+
 # queries without a SQL oracle (iterative fit): the driver checks rows only
 NO_ORACLE = {"conversion_model", "conversion_model_auc", "conversion_model_importance"}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -53,8 +54,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (tests, local runs) do we pick a
-    fresh local folder.
+    A cluster names it.  Only a local master may leave it unset (tests, local
+    runs): then a fresh local folder is taken.  Elsewhere that folder would
+    differ between the driver and the executors, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -66,6 +68,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # not set anywhere
         conf_dir = None
     if not conf_dir:
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="listenflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -92,14 +97,31 @@ def materialize_to_path(df) -> str:
 
 def drop_materialized(spark: SparkSession) -> None:
     """Delete every copy :func:`materialize` wrote for this application and
-    forget the load-step tables (they are re-derived on next use)."""
-    from listenflow.sources import product
+    forget what was kept (see :func:`refresh`)."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/listenflow"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    refresh(spark)
+
+
+def refresh(spark: SparkSession) -> None:
+    """Forget resolved sources, load-step tables and fitted models of this
+    application: the next query lists the source files again and derives
+    everything afresh."""
+    from listenflow.plans import registry
+    from listenflow.sources import product, raw
     app = spark.sparkContext.applicationId
-    for key in [k for k in product._LOADED if k[0] == app]:
-        del product._LOADED[key]
-    for key in [k for k in product._OPENED if k[1].startswith(root)]:
-        del product._OPENED[key]
+    for memo in (raw._RESOLVED, product._LOADED, registry._FITTED):
+        for key in [k for k in memo if k[0] == app]:
+            del memo[key]
+    product._OPENED.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove the copies written inside the block when it ends."""
+    try:
+        yield
+    finally:
+        drop_materialized(spark)

@@ -27,12 +27,12 @@ SIGNUP_SPREAD_DAYS = 28
 PREMIUM_MIN_ACCTBAL = 7000.0             # c_acctbal >= this → premium
 CONVERT_SPREAD_DAYS = 25                 # converted = signup + (custkey * 7) % 25
 SESSION_GAP_SECONDS = 4 * 3600           # a gap over 4 h starts a new session
-SESSION_ID_STRIDE = 10000                # session_id = user_id * 10000 + session number
+                                         # session_id = event_id of the session's first event
 MIN_SESSION_SECONDS = 30
 PLAY_EPOCH = dt.date(1995, 1, 1)         # play_date = SIGNUP_BASE + days(o_orderdate - PLAY_EPOCH) % 60
 PLAY_SPREAD_DAYS = 60
 TRACK_SECONDS = 300
-# device by session_id % 10: 0-5 mobile, 6-8 desktop, 9 tablet
+# device by session number % 10: 0-5 mobile, 6-8 desktop, 9 tablet
 # event types by (event_type, k = props.k):
 #   view → play when k even else ad_view
 #   click → like when k even, upgrade_click when k % 10 = 1, else search
@@ -52,6 +52,7 @@ class ProductTables:
     events: DataFrame
     tracks: DataFrame
     plays: DataFrame
+    source: tuple[SparkSession, str] | None = None      # set when derived tables are stored once
 
     def __getattribute__(self, name):
         value = object.__getattribute__(self, name)
@@ -60,9 +61,6 @@ class ProductTables:
             object.__setattr__(self, name, value)
         return value
 
-    def as_dict(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in PRODUCT_TABLES}
-
 
 def derive_users(customer: DataFrame, nation: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
@@ -82,19 +80,24 @@ def derive_users(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def sessionized_events(raw_events: DataFrame, keep: str = "write") -> DataFrame:
-    """Raw events with ``session_id`` (gap sessionization per user)."""
+    """Raw events with ``session_id`` and ``session_seq`` (gap sessionization per user).
+
+    The id is the ``event_id`` of the session's first event, so it is unique
+    however many sessions a user has; ``session_seq`` numbers them per user.
+    """
     ev = raw_events.select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("raw_type"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
-    ev = sessionize(ev, "user_id", "ts", "event_id", SESSION_GAP_SECONDS, out="session_seq", keep=keep)
-    return ev.withColumn("session_id", F.col("user_id") * SESSION_ID_STRIDE + F.col("session_seq"))
+    return sessionize(ev, "user_id", "ts", "event_id", SESSION_GAP_SECONDS, out="session_seq", keep=keep,
+                      first_id="session_id")
 
 
 def derive_sessions(ev: DataFrame, ts: str = "ts") -> DataFrame:
     g = ev.groupBy("session_id", "user_id").agg(F.min(ts).alias("session_start"),
-                                                F.max(ts).alias("_end"))
-    sid = F.col("session_id")
+                                                F.max(ts).alias("_end"),
+                                                F.min("session_seq").alias("_seq"))
+    turn = F.col("_seq") % 10
     return g.select(
         "session_id", "user_id",
         F.to_date("session_start").alias("session_date"),
@@ -102,7 +105,7 @@ def derive_sessions(ev: DataFrame, ts: str = "ts") -> DataFrame:
         F.greatest(F.lit(MIN_SESSION_SECONDS).cast("long"),
                    F.floor(elapsed_micros("session_start", "_end") / F.lit(1e6)).cast("long"))
          .alias("session_duration_sec"),
-        F.when(sid % 10 < 6, "mobile").when(sid % 10 < 9, "desktop").otherwise("tablet")
+        F.when(turn < 6, "mobile").when(turn < 9, "desktop").otherwise("tablet")
          .alias("device_type"),
     )
 
@@ -116,7 +119,7 @@ def derive_events(ev: DataFrame) -> DataFrame:
               .when(t == "purchase", "playlist_save")
               .otherwise("share"))
     return ev.select("event_id", "session_id", "user_id", etype.alias("event_type"),
-                     F.col("ts").alias("event_ts"))
+                     F.col("ts").alias("event_ts"), "session_seq")
 
 
 def derive_tracks(part: DataFrame) -> DataFrame:
@@ -202,6 +205,12 @@ def materialized_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
                       lambda: derive_plays(read_raw(spark, sf_dir, "lineitem"), read_raw(spark, sf_dir, "orders")))
 
 
+def stored(t: ProductTables, what: str, build) -> DataFrame:
+    """``build()`` stored once per application and source, or as it is for
+    tables that do not come from a source folder."""
+    return _load_once(*t.source, what, build) if t.source else build()
+
+
 def load_product_tables(spark: SparkSession, sf_dir: str, reuse: bool = True) -> ProductTables:
     """Lazy product tables over the parquet files in ``sf_dir``.
 
@@ -225,4 +234,5 @@ def load_product_tables(spark: SparkSession, sf_dir: str, reuse: bool = True) ->
         tracks=lambda: derive_tracks(read_raw(spark, sf_dir, "part")),
         plays=lambda: (materialized_plays(spark, sf_dir) if reuse else
                        derive_plays(read_raw(spark, sf_dir, "lineitem"), read_raw(spark, sf_dir, "orders"))),
+        source=(spark, sf_dir) if reuse else None,
     )
