@@ -15,10 +15,11 @@ does not fall with the size.  Only these prefixes are indexed.
 *Rare and frequent tokens.*  A prefix token in more than ``RARE`` prefixes is
 frequent.  Rare tokens are indexed one by one.  A node with fewer frequent
 tokens in its prefix than ``k`` asks for must share a rare one with any
-partner, so frequent tokens are needed only between nodes with many of them:
-these index combinations of two frequent tokens, taken from the first
-``f - k + 2`` of their ``f`` frequent prefix tokens (of at least ``k`` shared
-tokens the first two lie there).
+partner, so frequent tokens matter only between nodes with many of them.
+These nodes extend their prefix further, until the shared tokens of a linked
+pair outnumber the ones that either side has alone: then two shared tokens
+are neighbours in both prefixes, and the combinations of two neighbouring
+tokens are the index entries.  (This needs a similarity of 75 % or more.)
 
 *Verification without all pairs.*  First every entry is compared with the
 smallest node of its index group, which joins groups of near copies by one
@@ -51,8 +52,9 @@ from listenflow.session import materialize
 
 SIMILARITY = 90         # percent
 SHINGLE = 3             # words
-RARE = 24               # prefixes that may hold a rare token
-EXTRA = 20              # a prefix is extended by one token per this many shingles, 2 at least
+RARE = 8                # prefixes that may hold a rare token
+EXTRA = 16              # a prefix is extended by this many tokens ...
+EXTRA_PER = 20          # ... and by one more per this many shingles
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, n: int) -> list[np.ndarray]:
@@ -81,8 +83,15 @@ def _shared(n, similarity: int):
     """``k(n)``: shared prefix tokens asked for."""
     need = _need(n, similarity)
     if isinstance(n, Column):
-        return F.least(need, F.greatest(F.lit(2), F.ceil(n / EXTRA))).cast("long")
-    return min(need, max(2, -(-n // EXTRA)))
+        return F.least(need, EXTRA + F.floor(n / EXTRA_PER)).cast("long")
+    return min(need, EXTRA + n // EXTRA_PER)
+
+
+def _neighbourly(n: int, similarity: int) -> int:
+    """Prefix length at which a linked pair has two shared tokens next to each other."""
+    partner = n * 100 // similarity
+    alone = n - _need(n, similarity) + partner - _need(partner, similarity)
+    return n - _need(n, similarity) + min(_need(n, similarity), alone + 2)
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -99,8 +108,8 @@ def prefixes(docs: DataFrame, similarity: int, n: int) -> DataFrame:
             size = len(s)
             # a set that cannot differ from a partner by one shingle links with equal sets only
             alone = 100 * size < similarity * (size + 1)
-            cut.append(b"" if alone else
-                       s[:size - _need(size, similarity) + _shared(size, similarity)].astype("<u8").tobytes())
+            longest = max(size - _need(size, similarity) + _shared(size, similarity), _neighbourly(size, similarity))
+            cut.append(b"" if alone else s[:longest].astype("<u8").tobytes())
         return pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()),
                                 pa.array([_key(s) for s in sets], pa.binary()), pa.array(cut, pa.binary())],
                                names=["doc_id", "n", "key", "prefix"])
@@ -108,16 +117,31 @@ def prefixes(docs: DataFrame, similarity: int, n: int) -> DataFrame:
     return map_texts(docs, run, "doc_id long, n long, key binary, prefix binary")
 
 
-def _explode_prefix(groups: DataFrame) -> DataFrame:
+def _entries(groups: DataFrame, similarity: int) -> DataFrame:
     """``token, node`` rows of the prefixes."""
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
-            parts = [np.frombuffer(p, "<i8") for p in b.column(1).to_pylist()]
+            parts = [np.frombuffer(p, "<i8")[:n - _need(n, similarity) + _shared(n, similarity)]
+                     for n, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             if parts:
                 yield pa.record_batch([pa.array(np.concatenate(parts)), pa.array(np.repeat(node, [len(p) for p in parts]))],
                                       names=["token", "node"])
-    return groups.where("length(prefix) > 0").select("node", "prefix").mapInArrow(run, "token long, node long")
+    return groups.where("length(prefix) > 0").select("node", "n", "prefix").mapInArrow(run, "token long, node long")
+
+
+def _combinations(groups: DataFrame, similarity: int) -> DataFrame:
+    """``bucket, node`` rows: two neighbouring tokens of the longer prefixes."""
+    def run(batches):
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            parts = [np.frombuffer(p, "<u8")[:_neighbourly(n, similarity)]
+                     for n, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            pairs = [window_hashes(p, 2).view(np.int64) for p in parts]
+            if pairs:
+                yield pa.record_batch([pa.array(np.concatenate(pairs)), pa.array(np.repeat(node, [len(p) for p in pairs]))],
+                                      names=["bucket", "node"])
+    return groups.select("node", "n", "prefix").mapInArrow(run, "bucket long, node long")
 
 
 def _fits(a: Column, b: Column, similarity: int) -> Column:
@@ -157,6 +181,8 @@ def _verify(pairs: DataFrame, groups: DataFrame, docs: DataFrame, similarity: in
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: int = SIMILARITY, shingle: int = SHINGLE, rare: int = RARE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
+    if similarity < 75:
+        raise ValueError("similarity must be at least 75 percent")
     docs = narrow(docs, id_col, text_col)
     rows = materialize(prefixes(docs, similarity, shingle))
     groups = materialize(rows.where("n > 0").groupBy("key")
@@ -164,25 +190,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .withColumn("node", F.monotonically_increasing_id()))
     sizes = groups.select("node", "n")
 
-    entries = materialize(_explode_prefix(groups))
+    entries = materialize(_entries(groups, similarity))
     tokens = (entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("pivot"))
               .where("df > 1"))
     shared = materialize(entries.join(tokens, "token"))
-    frequent = shared.where(F.col("df") > rare)
-    f_count = frequent.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
+    f_count = shared.where(F.col("df") > rare).groupBy("node").agg(F.count(F.lit(1)).alias("f"))
     need = _need(F.col("n"), similarity)
     info = materialize(sizes.join(f_count, "node", "left").select(
         "node", "n", F.coalesce("f", F.lit(0)).cast("long").alias("f"),
         _shared(F.col("n"), similarity).alias("k"), _shared(need, similarity).alias("k_low")))
 
-    # combinations of two frequent tokens, for the nodes that may share frequent tokens only
-    many = info.where("f >= k_low").select("node", (F.col("f") - F.col("k_low") + 2).cast("int").alias("m"))
-    first = (frequent.join(many, "node").groupBy("node", "m").agg(F.array_sort(F.collect_list("token")).alias("t"))
-             .select("node", F.expr("slice(t, 1, m)").alias("t")))
-    combos = (first.select("node", "t", F.posexplode("t").alias("i", "x"))
-              .select("node", "x", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("y"))
-              .select(F.xxhash64("x", "y").alias("bucket"), "node"))
-    combos = materialize(combos)
+    # token combinations, for the nodes that may share frequent tokens only
+    many = info.where("f >= k_low").select("node")
+    combos = materialize(_combinations(groups.join(many, "node", "left_semi"), similarity))
     pivots = combos.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1")
     buckets = materialize(
         shared.where(F.col("df") <= rare).select(F.col("token").alias("bucket"), "node", "pivot", F.lit(1).alias("one"))

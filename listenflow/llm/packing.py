@@ -75,12 +75,42 @@ class WordTokenizer:
                         new.append(w)
                         ids = b""
                     known[w] = ids
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
+        self._learn(new)
+        return [b"".join([known[w] for w in words]) + end for words in split]
+
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Tokenize words.  A word of letters and the punctuation behind it are
+        separate pre-tokens, so both are looked up on their own."""
+        known, plain, other, tails = self.known, set(), [], []
+        for w in new:
+            core = w.rstrip(b".,;:!?")
+            if core.isalpha() or core.decode("utf-8").isalpha():
+                if core != w:
+                    tails.append((w, core, w[len(core):]))
+                if core == w or not known.get(core):
+                    plain.add(core)
+            else:
+                other.append(w)
+        points = {t for _, _, t in tails}
+        other += [t for t in points if not known.get(t)]
+        plain = list(plain)
+        for at in range(0, len(plain), 4096):
+            part = plain[at:at + 4096]
+            e = self.tokenizer.encode(b" ".join(part).decode("utf-8"), add_special_tokens=False)
+            if e.word_ids[-1] != len(part) - 1:     # a letter that lower case or NFC takes apart
+                other += part
+                continue
+            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))
+            raw = np.array(e.ids, "<u4").tobytes()
+            known.update(zip(part, [raw[4 * a:4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]))
+        for at in range(0, len(other), 4096):
+            part = other[at:at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8") for w in part],
                                                               add_special_tokens=False)):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        for w, core, tail in tails:
+            known[w] = known[core] + known[tail]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -265,8 +295,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
     docs = narrow(docs, id_col, text_col)
-    pieces = tokenized(docs, _cut(capacity), PIECES, path).withColumn(
-        "class", F.ceil(F.col("length") / width).cast("long"))
+    # written once: a range exchange reads its input twice, the first time for a sample
+    pieces = materialize(tokenized(docs, _cut(capacity), PIECES, path).withColumn(
+        "class", F.ceil(F.col("length") / width).cast("long")))
     # the position of equal rows does not matter: they are interchangeable
     ranked = materialize(row_number_within(pieces, ["doc_id", "start", "length", "crc"], ["class"], out="rank"))
     histogram = [(r["class"], r["n"]) for r in
