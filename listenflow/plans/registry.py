@@ -122,8 +122,10 @@ QUERIES: dict[str, QueryFn] = {
     "score_auc": _q(lambda t: model.score_auc(segments.qcut_scored(_nb(t)), "engagement_score", "converted")),
     "experiment_readout": _q(lambda t: experiment.experiment_readout(experiment.experiment_frame(t))),
     "experiment_by_segment": _q(lambda t: experiment.experiment_by_segment(
+        # every user has a segment, so the segments add up to the read-out
         experiment.experiment_frame(t).join(
-            segments.free_user_tiers_corrected(t).select("user_id", "user_segment"), "user_id", "inner"),
+            segments.free_user_tiers_corrected(t).select("user_id", "user_segment"), "user_id", "left")
+        .withColumn("user_segment", F.coalesce("user_segment", F.lit("Premium"))),
         "user_segment")),
     "conversion_model": _model_q(lambda s, t, m: model.conversion_model(_nb(t), fitted=m)),
     "conversion_model_auc": _model_q(lambda s, t, m: model.holdout_auc(model.conversion_model(_nb(t), fitted=m))),

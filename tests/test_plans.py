@@ -42,7 +42,9 @@ def test_filters_reach_the_scan(spark):
     from listenflow.sources.product import load_product_tables
     t = load_product_tables(spark, SF)
     p = plan_text(churn.churn_distribution(t, "2024-02-25"))
-    assert "PushedFilters" in p
+    pushed = [line for line in p.splitlines() if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(session_date," in line for line in pushed), pushed
+    assert any("EqualTo(plan_type,premium)" in line for line in pushed), pushed
 
 
 def test_same_result_for_1_and_16_partitions(spark):

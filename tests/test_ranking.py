@@ -75,3 +75,16 @@ def test_null_group_is_a_group(spark):
                                                             total="n", segments=3).collect()]
     assert sorted(got, key=str) == sorted([(None, 1.0, 1, 3), (None, 2.0, 2, 3), (None, 3.0, 3, 3),
                                            ("a", 2.0, 1, 1)], key=str)
+
+
+def test_ties_rank_as_one_row(spark):
+    """95 % of the rows on one value: the ranked rows are distinct values."""
+    from listenflow.operators.ranking import exact_percentiles, running_counts
+    import numpy as np
+    values = [1.0] * 1900 + [float(i) for i in range(2, 102)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    counts = df.groupBy("v").count()
+    ranked = running_counts(counts, "v", ["count"])
+    assert ranked.count() == 101
+    got = exact_percentiles(df, "v", [0.25, 0.5, 0.97], ["a", "b", "c"]).collect()[0]
+    assert np.allclose([got.a, got.b, got.c], np.percentile(values, [25, 50, 97]))

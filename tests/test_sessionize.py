@@ -44,3 +44,16 @@ def test_sessionize_null_user_kept(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
     got = {r.event_id: r.session_seq for r in sessionize(df, "user_id", "ts", "event_id", 4 * 3600).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_session_ids_do_not_collide(spark):
+    """A user with 10,001 sessions beside another user: ids stay apart and the
+    id is the first event's, across range segments too."""
+    base = dt.datetime(2020, 1, 1)
+    rows = [(i, 1, base + dt.timedelta(hours=5 * i)) for i in range(10001)]
+    rows += [(20000 + i, 2, base + dt.timedelta(minutes=i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    got = sessionize(df, "user_id", "ts", "event_id", 4 * 3600, segments=7, first_id="session_id").collect()
+    assert {r.event_id: r.session_id for r in got if r.user_id == 1} == {i: i for i in range(10001)}
+    assert {r.session_id for r in got if r.user_id == 2} == {20000}
+    assert len({r.session_id for r in got}) == 10002
