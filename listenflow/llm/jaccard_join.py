@@ -22,8 +22,9 @@ are neighbours in both prefixes, and the combinations of two neighbouring
 tokens are the index entries.  (This needs a similarity of 75 % or more.)
 
 *Verification without all pairs.*  First every entry is compared with the
-smallest node of its index group, which joins groups of near copies by one
-comparison per member; then, in groups that still hold several components,
+centre of its index group (the node with the fewest prefix tokens of its own,
+such as the original of edited copies), which joins groups of near copies by
+few comparisons per member; then, in groups that still hold several components,
 the members outside the group's largest component are compared with the
 members of other components.  Pairs inside one component add nothing to the
 result and are never made.  Pairs whose sizes, or whose number of shared
@@ -191,22 +192,28 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = groups.select("node", "n")
 
     entries = materialize(_entries(groups, similarity))
-    tokens = (entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("pivot"))
-              .where("df > 1"))
+    tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = materialize(entries.join(tokens, "token"))
-    f_count = shared.where(F.col("df") > rare).groupBy("node").agg(F.count(F.lit(1)).alias("f"))
+    f_count = shared.groupBy("node").agg(F.count(F.lit(1)).alias("met"),
+                                         F.count(F.when(F.col("df") > rare, 1)).alias("f"))
     need = _need(F.col("n"), similarity)
     info = materialize(sizes.join(f_count, "node", "left").select(
         "node", "n", F.coalesce("f", F.lit(0)).cast("long").alias("f"),
-        _shared(F.col("n"), similarity).alias("k"), _shared(need, similarity).alias("k_low")))
+        _shared(F.col("n"), similarity).alias("k"), _shared(need, similarity).alias("k_low"),
+        # prefix tokens that no other node has
+        (F.col("n") - need + _shared(F.col("n"), similarity) - F.coalesce("met", F.lit(0))).alias("own")))
 
     # token combinations, for the nodes that may share frequent tokens only
     many = info.where("f >= k_low").select("node")
     combos = materialize(_combinations(groups.join(many, "node", "left_semi"), similarity))
-    pivots = combos.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1")
-    buckets = materialize(
-        shared.where(F.col("df") <= rare).select(F.col("token").alias("bucket"), "node", "pivot", F.lit(1).alias("one"))
-        .union(combos.join(pivots, "bucket").select("bucket", "node", "pivot", F.lit(0).alias("one"))))
+    members = (shared.where(F.col("df") <= rare).select(F.col("token").alias("bucket"), "node", F.lit(1).alias("one"))
+               .union(combos.select("bucket", "node", F.lit(0).alias("one")).distinct()))
+    # the centre of a group: the node with the fewest tokens of its own, such as
+    # the original of many edited copies; the copies link with it, not with each other
+    central = F.min(F.struct("own", "node"))["node"]
+    pivots = (members.join(info.select("node", "own"), "node").groupBy("bucket")
+              .agg(F.count(F.lit(1)).alias("c"), central.alias("pivot")).where("c > 1").select("bucket", "pivot"))
+    buckets = materialize(members.join(pivots, "bucket"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("k").alias("ka"))
@@ -216,7 +223,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         enough = F.col("c") + F.least("fa", "fb") >= F.least("ka", "kb")
         return pairs.join(a, "a").join(b, "b").where(fits & enough).select("a", "b")
 
-    # 1: each entry against the smallest node of its group
+    # 1: each entry against the centre of its group
     star = (buckets.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
             .agg(F.sum("one").alias("c")))
     star = materialize(sized(star))
