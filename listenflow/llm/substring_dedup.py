@@ -45,7 +45,7 @@ from listenflow.llm.words import WordHashes, mix, window_hashes
 from listenflow.session import materialize
 
 WINDOW = 13
-ANCHOR = 4
+ANCHOR = 6
 HEAVY = 20000           # different segments of one anchor
 SHARD_WORDS = 1_000_000
 
@@ -94,7 +94,7 @@ def _explode(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "anchors").mapInArrow(run, "anchor long, doc_id long")
 
 
-SEGMENTS = "anchor long, k1 long, k2 long, seg binary, doc_id long, start long"
+SEGMENTS = "anchor long, k1 long, k2 long, seg binary, doc_id long, row long, start long"
 
 
 def _key(raw: bytes) -> tuple[int, int]:
@@ -103,14 +103,14 @@ def _key(raw: bytes) -> tuple[int, int]:
 
 
 def segments(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Segments of ``doc_id, text, wanted`` around the wanted anchors."""
+    """Segments of ``doc_id, row, text, wanted`` around the wanted anchors."""
     store: dict = {}
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(),
-                                         b.column(2).to_pylist()):
+            for doc, row, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
+                                              b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
                 words = _hashes(store).of(text.split())
                 if len(words) < window:
                     continue
@@ -122,16 +122,16 @@ def segments(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
                 raw = words.astype("<u8").tobytes()
                 for s, e, k in zip(first[hit].tolist(), last[hit].tolist(), keys[hit].tolist()):
                     seg = raw[8 * s:8 * (e + window)]
-                    rows.append((k, *_key(seg), seg, doc, s))
+                    rows.append((k, *_key(seg), seg, doc, row, s))
             yield _segment_batch(rows)
     return candidates.mapInArrow(run, SEGMENTS)
 
 
 def _segment_batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    columns = list(zip(*rows)) if rows else [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = list(zip(*rows)) if rows else [[]] * 7
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)],
-                           names=["anchor", "k1", "k2", "seg", "doc_id", "start"])
+                           names=["anchor", "k1", "k2", "seg", "doc_id", "row", "start"])
 
 
 def _cut_heavy(segs: DataFrame, heavy: DataFrame, window: int) -> DataFrame:
@@ -139,13 +139,13 @@ def _cut_heavy(segs: DataFrame, heavy: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for seg, doc, start in zip(*(b.column(i).to_pylist() for i in (3, 4, 5))):
+            for seg, doc, row, start in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6))):
                 for k in range(len(seg) // 8 - window + 1):
                     one = seg[8 * k:8 * (k + window)]
                     k1, k2 = _key(one)
-                    rows.append((k1, k1, k2, one, doc, start + k))
+                    rows.append((k1, k1, k2, one, doc, row, start + k))
             yield _segment_batch(rows)
-    cols = ["anchor", "k1", "k2", "seg", "doc_id", "start"]
+    cols = ["anchor", "k1", "k2", "seg", "doc_id", "row", "start"]
     light = segs.join(heavy, "anchor", "left_anti").select(*cols)
     return light.union(segs.join(heavy, "anchor", "left_semi").select(*cols).mapInArrow(run, SEGMENTS))
 
@@ -181,21 +181,21 @@ def _search_shard(window: int):
 
 
 def _covered(found: DataFrame, window: int) -> DataFrame:
-    """``doc_id, s, e``: runs of words covered by windows of a smaller id."""
+    """``row, s, e``: runs of words covered by windows of a smaller id."""
     def run(batches):
         for b in batches:
-            docs, s, e = [], [], []
-            for doc, start, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
+            rows, s, e = [], [], []
+            for doc, row, start, raw in zip(*(b.column(i).to_pylist() for i in range(4))):
                 hit = np.flatnonzero(np.frombuffer(raw, "<i8") < doc)
                 if len(hit):
                     cut = np.flatnonzero(np.diff(hit) > window) + 1
                     for part in np.split(hit, cut):
-                        docs.append(doc)
+                        rows.append(row)
                         s.append(start + int(part[0]))
                         e.append(start + int(part[-1]) + window)
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())],
-                                  names=["doc_id", "s", "e"])
-    return found.select("doc_id", "start", "minima").mapInArrow(run, "doc_id long, s long, e long")
+            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())],
+                                  names=["row", "s", "e"])
+    return found.select("doc_id", "row", "start", "minima").mapInArrow(run, "row long, s long, e long")
 
 
 KEPT = "doc_id long, words_sha string, n_removed long, kept_sha256 string, kept string"
@@ -235,12 +235,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # copies of a whole text: the smallest id stands for all
     copies = materialize(usable.groupBy("words_sha").agg(F.min("doc_id").alias("rep")))
     sources = usable.join(copies.withColumnRenamed("rep", "doc_id"), ["words_sha", "doc_id"], "left_semi")
-    entries = materialize(_explode(sources).distinct())
+    entries = materialize(_explode(sources))
     shared = entries.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     wanted = (entries.join(shared.select("anchor"), "anchor").groupBy(F.col("doc_id"))
               .agg(F.collect_list("anchor").alias("wanted")))     # at most the anchors of one document
-    candidates = materialize(docs.join(wanted, docs["_id"] == wanted["doc_id"]).select("doc_id", "_text", "wanted"))
-    segs = materialize(segments(candidates, window, anchor).dropDuplicates(["k1", "k2", "doc_id", "start"]))
+    candidates = materialize(docs.join(wanted, docs["_id"] == wanted["doc_id"])
+                             .select("doc_id", F.monotonically_increasing_id().alias("row"), "_text", "wanted"))
+    segs = materialize(segments(candidates, window, anchor))
 
     def folded(s: DataFrame) -> DataFrame:
         return s.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.first("seg").alias("seg"),
@@ -257,9 +258,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     minima = (distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
               .groupBy("shard").applyInArrow(_search_shard(window), "k1 long, k2 long, minima binary"))
     # only segments that hold a smaller id somewhere are sent back
-    runs = (_covered(segs.select("k1", "k2", "doc_id", "start").join(minima, ["k1", "k2"]), window)
-            .groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("runs")))
-    texts = candidates.select("doc_id", "_text").join(runs, "doc_id")
+    runs = (_covered(segs.select("k1", "k2", "doc_id", "row", "start").join(minima, ["k1", "k2"]), window)
+            .groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("runs")))
+    texts = candidates.select("doc_id", "row", "_text").join(runs, "row")
     changed = _remove(texts, keep_text).dropDuplicates(["doc_id", "words_sha"])
     of_copy = F.col("rep") < F.col("doc_id")        # every word of a copy lies in a window of the first
     every = rows.join(copies, "words_sha", "left").join(changed, ["doc_id", "words_sha"], "left")
