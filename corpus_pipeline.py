@@ -26,10 +26,22 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+NEAR_SIMILARITY = 80    # percent
+NEAR_SHINGLE = 5        # words
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str,
+                       similarity: int = jaccard_join.SIMILARITY, shingle: int = jaccard_join.SHINGLE) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays.
+    The defaults are those of the query op7."""
     prepare(spark)
-    return jaccard_join.keep_one_per_group(docs)
+    return jaccard_join.keep_one_per_group(docs, similarity=similarity, shingle=shingle)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's near copies: shingles of ``NEAR_SHINGLE`` words, a Jaccard
+    similarity of at least ``NEAR_SIMILARITY`` percent."""
+    return remove_near_copies(spark, docs, sf_dir, NEAR_SIMILARITY, NEAR_SHINGLE)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +64,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", remove_toxic),
     ("exact dedup", remove_exact_copies),
-    ("n-gram Jaccard join", remove_near_copies),
+    ("n-gram Jaccard join", near_copies_stage),
     ("secret scans", mask_secrets),
     ("packing", pack_sequences),
 ]

@@ -121,3 +121,36 @@ def test_pipeline_stages(spark):
         assert r.n_chars == (None if r.text is None else len(r.text))
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty(spark).select(*docs.columns), sf).count() == 0
+
+
+def brute_leaders(all_texts, similarity, n):
+    sets = []
+    for t in all_texts:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    comp = list(range(len(sets)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                comp[b] = a
+    return {root(i) for i in range(len(sets))}
+
+
+def test_pipeline_near_copies_by_five_words(spark):
+    """The stage as the pipeline runs it; the last text has four scattered
+    changes (180 of 220 shingles of five words, 190 of 214 of three)."""
+    text = [f"v{i}" for i in range(204)]
+    changed = [f"c{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(text)]
+    more = [*near_copies(), " ".join(text), " ".join(changed)]
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    got = {r.doc_id for r in stage(spark, documents(spark, more), "").collect()}
+    everything = [*texts(), *more]
+    assert got == brute_leaders(everything, 80, 5)
+    assert len(everything) - 2 in got and len(everything) - 1 not in got
