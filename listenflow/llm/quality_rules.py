@@ -6,8 +6,13 @@ one rest bin).  They are compared with references of each language by the
 Jensen-Shannon distance (base 2, so 0 to 1), and the distance to the nearest
 language counts.  References are sums over *all* documents of a language; the
 common words of a language are its ``COMMON`` most frequent words of at most
-``COMMON_CHARS`` letters, so both have a fixed size and are literals of the
-second pass.  Minimum-length guards: the character distance is used from
+``COMMON_CHARS`` letters, so both have a fixed size.  Every language with
+``MIN_REFERENCE_WORDS`` words or more has a reference, whatever its share of
+the table.  The ``LANGUAGES`` with most documents are literals of the second
+pass and every document is compared with them; if there are more, the others
+are joined on the language, and a document is compared with its own as well.
+A document whose language has no reference passes both distance rules: they
+have nothing to judge it by.  Minimum-length guards: the character distance is used from
 ``MIN_CHARS`` word characters on, the word distance from ``MIN_WORDS`` words
 on, with an allowance of ``WORD_NOISE / sqrt(words)`` for chance; shorter
 documents pass that rule.
@@ -16,8 +21,8 @@ Both passes are maps over the documents (array functions inside a row); only
 the reference counts are shuffled, after partial aggregation.
 
 Defined cases: a null text has no word (and fails the rule of ten words); a
-null or unknown language is a reference of its own; with no reference (an
-empty table) the result is empty; repeated rows are judged alike.
+null or unknown language is a language of its own; an empty table gives an
+empty result; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -26,11 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listenflow.llm.common import WORD_BREAK, prepare, table
+from listenflow.session import materialize
 
 COMMON = 24
 COMMON_CHARS = 8
-LANGUAGES = 64              # at most this many references: the languages with most documents
-MIN_SHARE = 0.005           # a language needs this share of the documents to be a reference
+LANGUAGES = 64              # references that every document is compared with
+MIN_REFERENCE_WORDS = 2000  # a language needs this many words for stable histograms
 MIN_CHARS = 200
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.27
@@ -100,19 +106,13 @@ def _base(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang"))
 
 
-def language_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        lang_col: str = "lang") -> list[dict]:
-    """The references: per language its character-class shares and common words.
-
-    Collected to the driver: at most ``LANGUAGES`` rows of fixed size.
-    """
+def reference_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    lang_col: str = "lang") -> DataFrame:
+    """``lang, docs, classes, words`` of every language with enough words: its
+    character-class shares and the shares of its common words."""
     base = _base(docs, id_col, text_col, lang_col)
     chars = (char_classes(base).groupBy("_lang")
              .agg(F.count(F.lit(1)).alias("docs"), *[F.sum(f"_c_{n}").alias(n) for n in CLASS_NAMES]))
-    total = chars.agg(F.sum("docs").alias("all"))
-    chars = (chars.crossJoin(F.broadcast(total))       # one row
-             .where((F.col("docs") >= MIN_SHARE * F.col("all")) | (F.col("docs") == F.col("all")))
-             .orderBy(F.desc("docs"), "_lang").limit(LANGUAGES))
     # one row per word; words that cannot be common share the null key, which
     # counts towards the total
     words = base.select("_lang", F.explode(split_words(F.lower("_text"))).alias("w"))
@@ -128,16 +128,22 @@ def language_references(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 F.slice(F.sort_array(F.collect_list(F.when(
                     (F.col("rank") <= COMMON) & F.col("w").isNotNull(),
                     F.struct(F.col("n").alias("n"), F.col("w").alias("w")))), asc=False), 1, COMMON).alias("common")))
-    found = chars.join(top, "_lang", "left").collect()
-    out = []
-    for r in sorted(found, key=lambda r: r._lang):
-        all_chars = sum(r[n] or 0 for n in CLASS_NAMES)
-        if not all_chars:
-            continue
-        out.append({"lang": r._lang,
-                    "classes": [(r[n] or 0) / all_chars for n in CLASS_NAMES],
-                    "words": {x.w: x.n / r.n_words for x in (r.common or [])}})
-    return out
+    all_chars = sum((F.col(n) for n in CLASS_NAMES), F.lit(0))
+    return (chars.join(top.where(F.col("n_words") >= MIN_REFERENCE_WORDS), "_lang")
+            .select(F.col("_lang").alias("lang"), "docs",
+                    F.array(*[F.col(n) / all_chars for n in CLASS_NAMES]).alias("classes"),
+                    F.map_from_entries(F.transform("common", lambda x: F.struct(
+                        x["w"].alias("w"), (x["n"] / F.col("n_words")).alias("p")))).alias("words")))
+
+
+def language_references(table_: DataFrame) -> list[dict]:
+    """The references every document is compared with.
+
+    Collected to the driver: at most ``LANGUAGES`` rows of fixed size.
+    """
+    found = table_.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
+    return [{"lang": r.lang, "classes": list(r.classes), "words": dict(r.words)}
+            for r in sorted(found, key=lambda r: r.lang)]
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -191,12 +197,53 @@ def word_distance(words: str, references: list[dict]) -> Column:
     return F.when(n > 0, _let(common, distances)).otherwise(F.lit(1.0))
 
 
+def own_char_distance(classes: str) -> Column:
+    """Distance to the class shares in a column; null where it is null."""
+    total = sum((F.col(f"_c_{n}") for n in CLASS_NAMES), F.lit(0)).cast("double")
+    terms = [_term(F.col(f"_c_{n}") / total, F.get(F.col(classes), F.lit(i))) for i, n in enumerate(CLASS_NAMES)]
+    return F.when((total > 0) & F.col(classes).isNotNull(), _distance(sum(terms, F.lit(0.0))))
+
+
+def own_word_distance(words: str, shares: str) -> Column:
+    """Distance to the common words in a map column; null where it is null."""
+    n = F.size(words).cast("double")
+
+    def distance(common: Column) -> Column:
+        bins = F.transform(F.array_distinct(common), lambda d: F.struct(
+            ((F.size(common) - F.size(F.array_remove(common, d))) / n).alias("p"),
+            F.element_at(F.col(shares), d).alias("q")))
+        sums = F.aggregate(bins, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+                           lambda a, x: F.struct((a["s"] + _term(x["p"], x["q"])).alias("s"), (a["q"] + x["q"]).alias("q")))
+        held = F.aggregate(F.map_values(F.col(shares)), F.lit(0.0), lambda a, x: a + x)
+        rest = 1.0 - F.size(common) / n
+        return _let(sums, lambda s: _distance(s["s"] + (held - s["q"]) / 2 + _term(rest, 1.0 - held)))
+
+    common = F.filter(F.col(words), lambda w: F.map_contains_key(F.col(shares), w))
+    return F.when((n > 0) & F.col(shares).isNotNull(), _let(common, distance))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   references: list[dict] | None = None, max_char: float = MAX_CHAR_DISTANCE,
                   max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row per document: base counts, distances, ``base_failed`` and ``kept``."""
-    refs = language_references(docs, id_col, text_col, lang_col) if references is None else references
+    more = None
+    if references is None:
+        known = materialize(reference_table(docs, id_col, text_col, lang_col))
+        refs = language_references(known)
+        if known.count() > len(refs):
+            more = (known.where(~F.col("lang").isin([r["lang"] for r in refs]))
+                    .select(F.col("lang").alias("_lang"), F.col("classes").alias("_classes"), F.col("words").alias("_shares")))
+    else:
+        refs = references
     rows = _base(docs, id_col, text_col, lang_col)
+    judged = F.col("_lang").isin([r["lang"] for r in refs]) if refs else F.lit(False)
+    char = char_distance(refs) if refs else F.lit(0.0)
+    word = word_distance("_lower", refs) if refs else F.lit(0.0)
+    if more is not None:
+        rows = rows.join(more, "_lang", "left")
+        judged = judged | F.col("_classes").isNotNull()
+        char = F.least(char, own_char_distance("_classes"))
+        word = F.least(word, own_word_distance("_lower", "_shares"))
     rows = rows.withColumn("_words", split_words(F.col("_text")))
     rows = rows.withColumn("_lower", split_words(F.lower("_text")))
     rows = char_classes(rows)
@@ -207,13 +254,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("_symbols").alias("n_symbols"),
         duplicate_lines(F.col("_text")).alias("n_dup_lines"),
         repeat_words("_words").alias("n_repeat_words"),
-        (char_distance(refs) if refs else F.lit(0.0)).alias("char_distance"),
-        (word_distance("_lower", refs) if refs else F.lit(0.0)).alias("word_distance"))
+        char.alias("char_distance"), word.alias("word_distance"), judged.alias("judged"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (((F.col("word_chars") >= MIN_CHARS) & (F.col("char_distance") > max_char))
            | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > max_word + WORD_NOISE / F.sqrt(F.col("n_words")))))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       failed.alias("base_failed"), (~failed & ~far).alias("kept"),
+                       failed.alias("base_failed"), (~failed & ~(F.col("judged") & far)).alias("kept"),
                        "char_distance", "word_distance")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 from listenflow.llm import exact_dedup, pii, quality_rules, secret_scan
@@ -127,3 +128,32 @@ def test_guess_cost():
         assert cost(weak) < 6, weak
     assert cost("kX9#mQ2vL7pw") > 15
     assert cost("kX9#mQ2vL7pw" * 20) > 15       # longer than one block
+
+
+def test_quality_keeps_a_language_of_its_own(spark):
+    """One clean document in a script of its own among 1,000 others, and many languages."""
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(40)]
+    latin = [" ".join(rnd.choice(vocabulary) for _ in range(200)) for _ in range(1000)]
+    greek = ["".join(rnd.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(rnd.randint(3, 9))) for _ in range(400)]
+    rows = [(i, t, "en") for i, t in enumerate(latin)] + [(1000, " ".join(greek), "el")]
+    got = rows_by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert got[1000].char_distance > quality_rules.MAX_CHAR_DISTANCE and got[1000].kept
+    assert all(got[i].kept for i in range(1000))
+
+
+def test_quality_languages_beyond_the_literals(spark, monkeypatch):
+    """Small languages are judged by their own reference, joined on the language."""
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 1)
+    rnd = random.Random(5)
+
+    def texts_of(letters, n, size):
+        vocabulary = ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(40)]
+        return [" ".join(rnd.choice(vocabulary) for _ in range(size)) for _ in range(n)]
+    rows = [(t, "en") for t in texts_of("abcdefghij", 300, 200)] + [(t, "el") for t in texts_of("αβγδεζηθικ", 60, 200)]
+    rows += [("9" * 40 + " " + " ".join("#%$&" * 5 for _ in range(90 + i)), "el") for i in range(2)]
+    d = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = rows_by_id(quality_rules.quality_rules(d))
+    assert all(got[i].kept for i in range(360))
+    assert got[310].char_distance < 0.2
+    assert all(got[i].char_distance > quality_rules.MAX_CHAR_DISTANCE for i in (360, 361))
