@@ -9,9 +9,12 @@ Spark builds the bipartite graph of patterns and instances (distinct values)
 and scores it in ``ROUNDS`` rounds: the confidence of a pattern is the mean
 score of its distinct instances (a seed scores 1, an unknown candidate 0 at
 first) with ``PRIOR`` imaginary instances of score 0 added; the score of a
-candidate is ``1 - product(1 - confidence)`` over its patterns.  At the end
-the candidates behind a pattern of at least ``MIN_SEEDS`` distinct seeds and
-``MIN_CONFIDENCE`` are added to the spans.  Base spans always stay.
+candidate is ``1 - product(1 - confidence)`` over its patterns.  A pattern is
+accepted when at least ``MIN_SEEDS`` distinct instances support it and its
+confidence is at least ``MIN_CONFIDENCE``; seeds support from the start, and
+after each round the candidates behind accepted patterns are promoted and
+support the patterns of the next round.  At the end the candidates behind
+accepted patterns are added to the spans.  Base spans always stay.
 
 One pass over the texts finds seeds and candidates; it is written once in the
 shared checkpoint folder, as are the graph's edges.  Everything after it works
@@ -175,22 +178,29 @@ def _occurrence(kind: str, seed: bool):
                               F.xxhash64(F.lower(x["v"])).alias("instance"), F.lit(seed).alias("seed"))
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``kind, pattern, seeds, confidence`` from distinct ``kind, pattern, instance, seed`` rows."""
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
+                   min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """``kind, pattern, support, confidence, accepted`` from distinct
+    ``kind, pattern, instance, seed`` rows; ``support`` counts seeds and
+    promoted candidates."""
     scores = None
     for _ in range(rounds):
         if scores is None:
-            scored = edges.withColumn("score", F.col("seed").cast("double"))
+            scored = edges.withColumn("score", F.col("seed").cast("double")).withColumn("supports", F.col("seed"))
         else:
             scored = edges.join(scores, ["kind", "instance"], "left").withColumn(
-                "score", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))))
+                "score", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0)))).withColumn(
+                "supports", F.col("seed") | F.coalesce("promoted", F.lit(False)))
         patterns = scored.groupBy("kind", "pattern").agg(
-            F.sum(F.col("seed").cast("long")).alias("seeds"),
+            F.sum(F.col("supports").cast("long")).alias("support"),
             (F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("confidence"))
+        patterns = patterns.withColumn(
+            "accepted", (F.col("support") >= min_seeds) & (F.col("confidence") >= min_confidence))
         # only candidates need a score; patterns no seed supports cannot give one
         scores = (edges.where("not seed").join(patterns.where("confidence > 0"), ["kind", "pattern"])
                   .groupBy("kind", "instance")
-                  .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))).alias("score")))
+                  .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))).alias("score"),
+                       F.max("accepted").alias("promoted")))
     return patterns
 
 
@@ -200,7 +210,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialize(scan(docs, id_col, text_col))
     occ = occurrences(found).where(F.col("pattern").isNotNull())
     edges = materialize(occ.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")))
-    good = score_patterns(edges).where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence))
+    good = score_patterns(edges, ROUNDS, min_seeds, min_confidence).where("accepted")
     added = (occ.where("not seed").join(good.select("kind", "pattern"), ["kind", "pattern"])
              .groupBy("_row").agg(F.collect_list(F.struct("kind", "s", "e")).alias("added")))
     rows = found.select("_row", F.col("_id").alias("doc_id"), *[f"b_{k}" for k in KINDS])

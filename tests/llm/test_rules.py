@@ -157,3 +157,20 @@ def test_quality_languages_beyond_the_literals(spark, monkeypatch):
     assert all(got[i].kept for i in range(360))
     assert got[310].char_distance < 0.2
     assert all(got[i].char_distance > quality_rules.MAX_CHAR_DISTANCE for i in (360, 361))
+
+
+def test_pii_second_generation(spark):
+    """Addresses behind 'write to' are reached only by way of candidates that the
+    seeded pattern 'contact mail:' has found."""
+    seeds = [f"our contact mail: s{i}@x.org now" for i in range(20)]
+    both = [f"our contact mail: joe{i} (at) x dot org now" for i in range(10)]
+    again = [f"please write to joe{i} (at) x dot org now" for i in range(10)]
+    only = "please write to ann (at) y dot org now"
+    more = seeds + both + again + [only, "the cat sat kim (at) z dot org now"]
+    got = rows_by_id(pii.digest(pii.find_personal_data(documents(spark, more))))
+    first = len(texts())
+    n = first + len(more)
+    assert all(got[i].n_added == 1 for i in range(first + 20, n - 1))
+    start = only.index("ann")
+    assert got[n - 2].spans == f"email:{start}:{start + len('ann (at) y dot org')}"
+    assert got[n - 1].spans == ""
