@@ -8,7 +8,14 @@ fixed patterns leave out and that an attacker would need many guesses for.
 The guess cost of a value is found by dynamic programming over its
 characters: the value is cut into segments, each a dictionary word (also with
 letters swapped for digits), a date, a repeat, a keyboard walk or brute force,
-and the cheapest segmentation counts.  The cost of a segmentation of ``k``
+and the cheapest segmentation counts.  The cost alone decides, so that plain
+words of prose are told from secrets by the dictionary: Spark counts the
+documents that each run of ``WORD_CHARS`` letters a-z occurs in, outside of
+values in a credential context, and of each of ``WORD_CLASSES`` hash classes
+the ``CLASS_WORDS`` most frequent words (at most 32,768 together) are ranked.
+A fixed list of common words keeps its ranks where they are lower.  Of a value
+that fixed spans cover in part, the pieces outside them are scored, up to the
+closing quote of a quoted value.  The cost of a segmentation of ``k``
 segments is ``log10(k!) + sum(log10(guesses of a segment))``.  The dynamic
 program keeps the best cost per (position, number of segments up to
 ``MAX_SEGMENTS``), so a value of n characters takes O(n * LONGEST * segments)
@@ -28,7 +35,8 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from listenflow.llm.common import map_texts, narrow, prepare, table
 
@@ -62,7 +70,17 @@ WORDS = (
     "letmein sunshine princess football baseball secret shadow superman hello freedom whatever trust user test "
     "guest root pass access default changeme example sample demo token key value none null true false string "
     "public private server client system database service account email name http https localhost").split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+
+
+class Ranks(dict):
+    """Word -> rank; hashed by identity, so that costs can be cached per table."""
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+
+
+RANK = Ranks({w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))})
+WORD_CHARS = (3, 16)
+WORD_CLASSES, CLASS_WORDS = 64, 512
 SWAPS = str.maketrans("430157@$!", "aeoistasi")     # 4a 3e 0o 1i 5s 7t @a $s !i
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {key: (r, c) for r, row in enumerate(ROWS) for c, key in enumerate(row)}
@@ -70,6 +88,22 @@ DATE = re.compile(r"(?:19|20)\d\d|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d\d)|(?:19|2
 YEAR = 365.25
 
 
+def _is_date(s: str) -> bool:
+    """Whether the digits of ``s`` are a year, month and day in some order."""
+    parts = re.split("[-/.]", s)
+    if len(parts) == 1:
+        if len(s) == 4:
+            return True
+        cuts = [(s[:-4], s[-4:-2], s[-2:]), (s[:2], s[2:4], s[4:])]
+    else:
+        cuts = [parts]
+    for a, b, c in cuts:
+        for year, month, day in ((a, b, c), (c, a, b), (c, b, a)):
+            if (len(year) == 2 or year[:2] in ("19", "20")) and 1 <= int(month) <= 12 and 1 <= int(day) <= 31:
+                return True
+    return False
+
+
 def _charset(s: str) -> int:
     size = 0
     if any(c.islower() for c in s):
@@ -83,7 +117,7 @@ def _charset(s: str) -> int:
     return max(size, 2)
 
 
-def _segment_costs(value: str) -> list[list[tuple[int, float]]]:
+def _segment_costs(value: str, ranks: Ranks) -> list[list[tuple[int, float]]]:
     """For each end, ``(start, log10 guesses)`` of every segment other than brute force."""
     n = len(value)
     low = value.lower()
@@ -91,17 +125,17 @@ def _segment_costs(value: str) -> list[list[tuple[int, float]]]:
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j])
+            rank = ranks.get(low[i:j])
             extra = 0.0
             if rank is None:
-                rank = RANK.get(swapped[i:j])
+                rank = ranks.get(swapped[i:j])
                 extra = math.log10(4)
             if rank is not None:
                 if value[i:j] != low[i:j] and not value[i:j].isdigit():
                     extra += math.log10(2 if value[i:j].istitle() or value[i:j].isupper() else 8)
                 ends[j].append((i, math.log10(rank + 1) + extra))
         for width in (4, 6, 8, 10):
-            if i + width <= n and (m := DATE.fullmatch(value, i, i + width)):
+            if i + width <= n and DATE.fullmatch(value, i, i + width) and _is_date(value[i:i + width]):
                 years = 120.0
                 ends[i + width].append((i, math.log10(years if width == 4 else years * YEAR * (4 if width == 10 else 1))))
         # repeats of a unit of one to four characters
@@ -131,9 +165,9 @@ def _segment_costs(value: str) -> list[list[tuple[int, float]]]:
     return ends
 
 
-def _block_cost(value: str) -> float:
+def _block_cost(value: str, ranks: Ranks) -> float:
     n = len(value)
-    ends = _segment_costs(value)
+    ends = _segment_costs(value, ranks)
     per_char = math.log10(_charset(value))
     inf = math.inf
     # best[k][i]: cheapest cut of the first i characters into k segments; a brute
@@ -157,9 +191,9 @@ def _block_cost(value: str) -> float:
 
 
 @lru_cache(maxsize=1 << 14)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: Ranks = RANK) -> float:
     """log10 of the guesses the cheapest segmentation needs."""
-    return sum(_block_cost(value[i:i + VALUE_CHARS]) for i in range(0, len(value), VALUE_CHARS))
+    return sum(_block_cost(value[i:i + VALUE_CHARS], ranks) for i in range(0, len(value), VALUE_CHARS))
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, str]]:
@@ -171,28 +205,62 @@ def fixed_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def guessed_spans(text: str, taken: list[tuple[int, int, str]], least: float = MIN_GUESS_LOG10):
+def word_ranks(docs: DataFrame, text_col: str = "text") -> Ranks:
+    """The ranks of the most frequent words of the table.
+
+    Collected to the driver: at most ``WORD_CLASSES * CLASS_WORDS`` words.
+    """
+    prose = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "(?i)" + CONTEXT.pattern, " "))
+    low, high = WORD_CHARS
+    found = F.filter(F.split(prose, "[^a-z]+"), lambda w: F.char_length(w).between(low, high))
+    counts = (docs.select(F.explode(F.array_distinct(found)).alias("w"))
+              .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    # the most frequent of each hash class: no task gets all the words
+    by_class = Window.partitionBy(F.pmod(F.xxhash64("w"), F.lit(WORD_CLASSES))).orderBy(F.desc("n"), "w")
+    top = counts.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= CLASS_WORDS).select("w", "n").collect()
+    ranks = Ranks(RANK)
+    for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.w))):
+        ranks[r.w] = min(i + 1, ranks.get(r.w, i + 1))
+    return ranks
+
+
+def _outside(start: int, end: int, taken: list[tuple[int, int, str]]):
+    """The pieces of ``start`` to ``end`` that no span of ``taken`` covers."""
+    at = start
+    for s, e, _ in sorted(taken):
+        if s >= end:
+            break
+        if s > at:
+            yield at, s
+        at = max(at, e)
+    if at < end:
+        yield at, end
+
+
+def guessed_spans(text: str, taken: list[tuple[int, int, str]], least: float = MIN_GUESS_LOG10, ranks: Ranks = RANK):
     """Values in a credential context that take at least ``10**least`` guesses."""
     out = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         while end > start and text[end - 1] in CLOSING:
             end -= 1
-        if end - start < 6 or any(s < end and start < e for s, e, _ in taken):
+        if end - start < 6:
             continue
-        value = text[start:end]
-        # plain words of prose are no credential: ask for two kinds of characters
-        kinds = (any(c.islower() for c in value) + any(c.isupper() for c in value[1:])
-                 + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value[:-1]))
-        if kinds >= 2 and guess_cost(value) >= least:
-            out.append((start, end, "guess"))
+        if not any(s < end and start < e for s, e, _ in taken):
+            if guess_cost(text[start:end], ranks) >= least:
+                out.append((start, end, "guess"))
+            continue
+        quote = text[start - 1]
+        if quote in "\"'" and (close := text.find(quote, start, end)) >= 0:
+            end = close
+        out += [(s, e, "guess") for s, e in _outside(start, end, taken) if guess_cost(text[s:e], ranks) >= least]
     return out
 
 
-def find_secrets(text: str) -> tuple[list, list]:
+def find_secrets(text: str, ranks: Ranks = RANK) -> tuple[list, list]:
     """``(fixed spans, added spans)``, each ``(start, end, kind)`` in code points."""
     fixed = sorted(fixed_spans(text), key=lambda s: (s[0], KINDS.index(s[2])))
-    return fixed, guessed_spans(text, fixed)
+    return fixed, guessed_spans(text, fixed, ranks=ranks)
 
 
 def as_text(spans) -> str:
@@ -200,9 +268,9 @@ def as_text(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in ordered)
 
 
-def redact(text: str) -> str:
+def redact(text: str, ranks: Ranks = RANK) -> str:
     """The text with every secret replaced by a mark; overlapping spans become one."""
-    fixed, added = find_secrets(text)
+    fixed, added = find_secrets(text, ranks)
     out, at = [], 0
     for start, end, _ in sorted(fixed + added):
         if end <= at:
@@ -220,11 +288,13 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest of the fixed spans and all spans of every whole text."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
+
     def run(ids, texts):
         n = {k: [] for k in KINDS}
         sha, spans = [], []
         for t in texts.to_pylist():
-            fixed, added = find_secrets(t)
+            fixed, added = find_secrets(t, ranks.value)
             for k in KINDS:
                 n[k].append(sum(s[2] == k for s in fixed + added))
             sha.append(hashlib.sha256(as_text(fixed).encode()).hexdigest())
@@ -240,11 +310,12 @@ def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text stays null."""
     schema = docs.schema
     at = schema.names.index(text_col)
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                texts = [None if t is None else redact(t) for t in b.column(at).to_pylist()]
+                texts = [None if t is None else redact(t, ranks.value) for t in b.column(at).to_pylist()]
                 yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
     return docs.mapInArrow(run, schema)

@@ -174,3 +174,17 @@ def test_pii_second_generation(spark):
     start = only.index("ann")
     assert got[n - 2].spans == f"email:{start}:{start + len('ann (at) y dot org')}"
     assert got[n - 1].spans == ""
+
+
+def test_secrets_of_one_kind_of_character(spark):
+    """The guess cost alone decides; frequent words of the table are no secrets."""
+    prose = [f"it is required and erforderlich in case {i}" for i in range(5)]
+    more = [*prose, "passphrase: xqzvkwjfhtpl", "my password is QWZKJXVBNM here", "pin: 8391027465",
+            "a password is required", "Pass: erforderlich", "login was 20240101",
+            "password: hunter2#xQ9!kfLw", 'token: "abcdefgh", "user": "somebodyelse"']
+    got = rows_by_id(secret_scan.scan_secrets(documents(spark, more)))
+    spans = [got[len(texts()) + 5 + i].spans for i in range(8)]
+    assert spans == ["guess:12:24", "guess:15:25", "guess:5:15", "", "", "", "assign:0:17,guess:17:26", "assign:0:16"]
+    masked = rows_by_id(secret_scan.mask_secrets(documents(spark, more)))
+    assert masked[len(texts()) + 5].text == "passphrase: [SECRET]"
+    assert masked[len(texts()) + 11].text == "[SECRET][SECRET]"
