@@ -28,7 +28,7 @@ Defined cases: null roles and texts are one space; a null conversation id is a
 conversation of its own; null turns come first; messages of one turn are
 ordered by role and text (texts alike in their first 32 characters by their
 hash); equal rows are duplicates of each other; an empty role is a role of no
-known class; extra columns are left out; an empty table gives an empty result.
+known class; a number of gaps beyond 64 bits is null; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations

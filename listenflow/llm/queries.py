@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from listenflow.llm.bpe_fst import op9_query
+from listenflow.llm.conversation_repair import op13_query
 from listenflow.llm.exact_dedup import OP5_SQL, op5_query
 from listenflow.llm.jaccard_join import OP7_SQL, op7_query
 from listenflow.llm.packing import op6_query
@@ -10,6 +11,7 @@ from listenflow.llm.pii import op1_query
 from listenflow.llm.quality_cnn import op4_query
 from listenflow.llm.quality_rules import op3_query
 from listenflow.llm.secret_scan import op8_query
+from listenflow.llm.spelling_variants import OP11_SQL, op11_query
 from listenflow.llm.substring_dedup import OP2_SQL, op2_query
 from listenflow.llm.toxicity import op10_query
 
@@ -24,10 +26,13 @@ QUERIES = {
     "op8_secret_scan": op8_query,
     "op9_bpe": op9_query,
     "op10_toxicity": op10_query,
+    "op11_spelling_variants": op11_query,
+    "op13_conversation_repair": op13_query,
 }
 
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_jaccard_join": OP7_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }

@@ -110,7 +110,7 @@ def cases():
 FIELDS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
-@pytest.mark.parametrize("segment_bits, fan_bits", [(12, 12), (2, 2)])
+@pytest.mark.parametrize("segment_bits, fan_bits", [(12, 12), (3, 8)])
 def test_audit_matches_brute_force(spark, segment_bits, fan_bits):
     rows = cases()
     got = {r.conv_id: tuple(r[f] for f in FIELDS)
@@ -122,10 +122,10 @@ def test_audit_matches_brute_force(spark, segment_bits, fan_bits):
     assert got == want
 
 
-@pytest.mark.parametrize("segment_bits", [12, 2])
+@pytest.mark.parametrize("segment_bits", [12, 3])
 def test_repaired_messages(spark, segment_bits):
     rows = cases()
-    ordered, scripts, _ = cr.repair(messages(spark, rows).drop("copies"), segment_bits, 2)
+    ordered, scripts, _ = cr.repair(messages(spark, rows).drop("copies"), segment_bits, 8)
     got = {}
     for r in sorted(cr.repaired_messages(ordered, scripts, segment_bits).collect(), key=lambda r: (r.place, r.part)):
         got.setdefault(r.conv_id, []).append((r.role, r.text))
