@@ -6,6 +6,7 @@ from listenflow.llm.bpe_fst import op9_query
 from listenflow.llm.conversation_repair import op13_query
 from listenflow.llm.exact_dedup import OP5_SQL, op5_query
 from listenflow.llm.jaccard_join import OP7_SQL, op7_query
+from listenflow.llm.language_id import op12_query
 from listenflow.llm.packing import op6_query
 from listenflow.llm.pii import op1_query
 from listenflow.llm.quality_cnn import op4_query
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_bpe": op9_query,
     "op10_toxicity": op10_query,
     "op11_spelling_variants": op11_query,
+    "op12_language_id": op12_query,
     "op13_conversation_repair": op13_query,
 }
 
