@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user, back_to_users
 from listenflow.operators.features import _events_per_session
+from listenflow.operators.ordering import ordered
 from listenflow.sources.product import ProductTables
 
 LOOKBACK_DAYS = 30
@@ -29,16 +30,16 @@ def _band(sessions: str, days: str) -> F.Column:
 
 def _recent(t: ProductTables, as_of: dt.date, days: int, with_events: bool, as_written: bool) -> DataFrame:
     premium = t.users.where(F.col("plan_type") == "premium").select("user_id", "converted_date")
-    cutoff = F.date_sub(F.lit(as_of), days)
+    cutoff = as_of - dt.timedelta(days=days)
     # constant bound: pushed to the session side before the join; no upper bound
-    s = t.sessions.where(F.col("session_date") >= cutoff) \
+    s = t.sessions.where(F.col("session_date") >= F.lit(cutoff)) \
                   .select("session_id", "user_id", "session_date", "session_duration_sec")
     s = attach_user(s, premium, [])
-    aggs = [F.countDistinct("session_id").cast("long").alias("sessions_last30"),
+    aggs = [F.count("session_id").cast("long").alias("sessions_last30"),
             F.countDistinct("session_date").cast("long").alias("active_days_last30")]
     zero = ["sessions_last30", "active_days_last30"]
     if with_events:
-        ev = _events_per_session(t, ("playlist_save", "like"))
+        ev = _events_per_session(t, ("playlist_save", "like"), since=cutoff)
         s = s.join(ev, "session_id", "left")
         weight = F.greatest(F.coalesce("n_events", F.lit(0)), F.lit(1)) if as_written else F.lit(1)
         aggs += [(F.sum(F.col("session_duration_sec") * weight) / F.lit(3600.0)).alias("hours_last30"),
@@ -51,11 +52,11 @@ def _recent(t: ProductTables, as_of: dt.date, days: int, with_events: bool, as_w
 def premium_churn_users(t: ProductTables, as_of, days: int = LOOKBACK_DAYS, as_written: bool = True) -> DataFrame:
     as_of = _as_date(as_of)
     r = _recent(t, as_of, days, with_events=True, as_written=as_written)
-    return r.select("user_id", "converted_date",
-                    F.datediff(F.lit(as_of), F.col("converted_date")).cast("long").alias("days_as_premium"),
-                    "sessions_last30", round_half_away("hours_last30", 1).alias("hours_last30"),
-                    "active_days_last30", "saves_last30", "likes_last30",
-                    _band("sessions_last30", "active_days_last30").alias("churn_risk"))
+    return ordered(r.select("user_id", "converted_date",
+                            F.datediff(F.lit(as_of), F.col("converted_date")).cast("long").alias("days_as_premium"),
+                            "sessions_last30", round_half_away("hours_last30", 1).alias("hours_last30"),
+                            "active_days_last30", "saves_last30", "likes_last30",
+                            _band("sessions_last30", "active_days_last30").alias("churn_risk")), "sessions_last30", "user_id")
 
 
 def premium_churn_users_corrected(t: ProductTables, as_of, days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -68,5 +69,5 @@ def churn_distribution(t: ProductTables, as_of, days: int = LOOKBACK_DAYS) -> Da
          .agg(F.count(F.lit(1)).cast("long").alias("users"))
     total = F.sum("users").over(Window.partitionBy())     # at most four rows
     order = F.array_position(F.array(*[F.lit(x) for x in RISK_ORDER]), F.col("churn_risk")).cast("int")
-    return g.select("churn_risk", "users", pct(F.col("users"), total, 1).alias("pct_of_premium"),
-                    order.alias("risk_order"))
+    return ordered(g.select("churn_risk", "users", pct(F.col("users"), total, 1).alias("pct_of_premium"),
+                            order.alias("risk_order")), "risk_order")

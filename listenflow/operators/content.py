@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user
+from listenflow.operators.ordering import ordered
 from listenflow.sources.product import ProductTables
 
 AUDIO_MEANS = ("energy", "danceability", "valence", "acousticness")
@@ -27,11 +28,12 @@ def genre_by_plan(t: ProductTables) -> DataFrame:
         F.count("play_id").cast("long").alias("total_plays"),
         F.avg("energy").alias("e"), F.avg("danceability").alias("d"), F.avg("valence").alias("v"))
     plan_total = F.sum("total_plays").over(Window.partitionBy("plan_type"))   # genres × plans rows
-    return g.select("genre", "plan_type", "user_count", "total_plays",
-                    round_half_away("e", 3).alias("avg_energy"),
-                    round_half_away("d", 3).alias("avg_danceability"),
-                    round_half_away("v", 3).alias("avg_valence"),
-                    pct(F.col("total_plays"), plan_total, 1).alias("pct_of_plan_plays"))
+    return ordered(g.select("genre", "plan_type", "user_count", "total_plays",
+                            round_half_away("e", 3).alias("avg_energy"),
+                            round_half_away("d", 3).alias("avg_danceability"),
+                            round_half_away("v", 3).alias("avg_valence"),
+                            pct(F.col("total_plays"), plan_total, 1).alias("pct_of_plan_plays")),
+                   "plan_type", "-total_plays", "genre")
 
 
 def audio_profile_by_type(t: ProductTables) -> DataFrame:

@@ -38,15 +38,26 @@ def _in_window(date_col: str, days: int):
 
 def _window_sessions(t: ProductTables, days: int) -> DataFrame:
     """Session rows dated signup .. signup + days (inclusive), with user attrs."""
+    if not 0 <= days <= 62:
+        raise ValueError("a window has 1 to 63 dates")
     s = t.sessions.select("session_id", "user_id", "session_date", "session_duration_sec", "device_type")
     return attach_user(s, t.users, ["signup_date"], condition=_in_window("session_date", days))
 
 
+def _day_set(date_col: str, first_col: str) -> F.Column:
+    """Distinct days of a window of at most 63 dates from ``first_col`` on: one
+    bit per date, merged by the partial aggregates like a sum."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.datediff(date_col, first_col))
+    return F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).cast("long")
+
+
 def _session_feature_aggs() -> list:
+    # a bitmap of days leaves one distinct in the group (devices), which Spark
+    # plans as a two-level aggregate; with several it would expand every row
     return [F.count("session_id").cast("long").alias("sessions_d7"),        # one row per session
             F.sum("session_duration_sec").cast("long").alias("total_listen_sec_d7"),
             F.avg("session_duration_sec").alias("avg_session_sec_d7"),
-            F.countDistinct("session_date").cast("long").alias("distinct_days_active_d7"),
+            _day_set("session_date", "signup_date").alias("distinct_days_active_d7"),
             F.countDistinct("device_type").cast("long").alias("distinct_devices_d7")]
 
 
@@ -65,12 +76,18 @@ def d7_session_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
                       "avg_session_sec_d7", "distinct_days_active_d7", "distinct_devices_d7")
 
 
-def _events_per_session(t: ProductTables, types: Sequence[str]) -> DataFrame:
+def _events_per_session(t: ProductTables, types: Sequence[str], since=None) -> DataFrame:
     """Per session_id: event count by type and in total (pre-aggregated before
-    any join, so raw events are never shuffled to the user)."""
+    any join, so raw events are never shuffled to the user).
+
+    ``since`` (a date) is for callers that keep the sessions dated from then
+    on only: a session's date is that of its first event, so none of its
+    events is earlier, and the bound reaches the scan of the events.
+    """
+    events = t.events if since is None else t.events.where(F.col("event_ts") >= F.lit(since).cast("timestamp"))
     aggs = [count_where(F.col("event_type") == et).alias(f"n_{et}") for et in types]
     aggs.append(F.count(F.lit(1)).cast("long").alias("n_events"))
-    return t.events.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(*aggs)
+    return events.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(*aggs)
 
 
 EVENT_COUNTS = tuple(name for _, name in EVENT_FEATURES)
@@ -106,16 +123,23 @@ def _track_aggs(t: ProductTables, days: int) -> DataFrame:
     """Per user with an in-window play: the seven track features."""
     p = t.plays.select("play_id", "user_id", "track_id", "play_date", "completed")
     p = attach_user(p, t.users, ["signup_date"], condition=_in_window("play_date", days))
+    # one row per user and track before the tracks are joined: fewer rows meet
+    # them, and counting rows replaces the distinct count of tracks
+    p = p.groupBy("user_id", "track_id").agg(
+        F.count("play_id").cast("long").alias("n"),
+        F.sum(F.when(F.col("completed") == F.lit(True), 1).otherwise(0)).cast("long").alias("done"),
+        F.count(F.lit(1)).cast("long").alias("rows"))
     p = p.join(t.tracks.select("track_id", "genre", "energy", "danceability", "valence"), "track_id", "left")
+
+    def mean(c: str) -> F.Column:       # over plays; 9 decimals make it independent of row order
+        plays = F.sum(F.when(F.col(c).isNotNull(), F.col("rows")))
+        return round_half_away(F.sum(F.col(c) * F.col("rows")) / plays, 9).alias(f"avg_track_{c}")
     return p.groupBy("user_id").agg(
-        F.count("play_id").cast("long").alias("tracks_played_d7"),
-        F.sum(F.when(F.col("completed") == F.lit(True), 1).otherwise(0)).cast("long").alias("tracks_completed_d7"),
-        F.countDistinct("track_id").cast("long").alias("unique_tracks_d7"),
+        F.sum("n").cast("long").alias("tracks_played_d7"),
+        F.sum("done").cast("long").alias("tracks_completed_d7"),
+        F.count("track_id").cast("long").alias("unique_tracks_d7"),
         F.countDistinct("genre").cast("long").alias("unique_genres_d7"),
-        # means of doubles: 9 decimals make them independent of row order
-        round_half_away(F.avg("energy"), 9).alias("avg_track_energy"),
-        round_half_away(F.avg("danceability"), 9).alias("avg_track_danceability"),
-        round_half_away(F.avg("valence"), 9).alias("avg_track_valence"))
+        mean("energy"), mean("danceability"), mean("valence"))
 
 
 def d7_track_features(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
@@ -165,8 +189,9 @@ def d7_features_minutes(t: ProductTables, days: int = D7_DAYS) -> DataFrame:
         F.count("session_id").cast("long").alias("sessions_d7"),
         (F.sum("session_duration_sec") / F.lit(60.0)).alias("total_listen_min_d7"),
         (F.avg("session_duration_sec") / F.lit(60.0)).alias("avg_session_min_d7"),
+        # no lower bound on the days, so no bitmap: the few device names of a user form a set instead
         F.countDistinct(F.to_date("session_start")).cast("long").alias("distinct_days_d7"),
-        F.countDistinct("device_type").cast("long").alias("distinct_devices_d7"))
+        F.size(F.collect_set("device_type")).cast("long").alias("distinct_devices_d7"))
     return g.select("user_id", "sessions_d7", "total_listen_min_d7", "avg_session_min_d7",
                     "distinct_days_d7", "distinct_devices_d7", "plan_type",
                     F.when(F.col("plan_type") == "premium", 1).otherwise(0).alias("converted"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from listenflow.functions.dates import elapsed_days
 from listenflow.functions.numeric import pct
 from listenflow.operators._user import attach_user, back_to_users, sum_flag
+from listenflow.operators.ordering import ordered
 from listenflow.sources.product import ProductTables
 
 # fixed stage names
@@ -55,16 +56,16 @@ def funnel_overall(t: ProductTables, stages: Sequence[tuple[int, int]] = DEFAULT
                  F.col(f"s{i}" if i else "s1").alias("prev_users"))
         for i, name in enumerate(STAGE_NAMES)])
     long = totals.select("s1", F.inline(rows))
-    return long.select(
+    return ordered(long.select(
         "funnel_stage", "stage_order", "users",
         F.when(F.col("stage_order") == 1, F.lit(100.0)).otherwise(pct("users", "s1", 1)).alias("pct_of_top"),
         F.when(F.col("stage_order") == 1, F.lit(None).cast("double"))
-         .otherwise(pct("users", "prev_users", 1)).alias("pct_of_prev"))
+         .otherwise(pct("users", "prev_users", 1)).alias("pct_of_prev")), "stage_order")
 
 
 def funnel_by_device(t: ProductTables, stages: Sequence[tuple[int, int]] = DEFAULT_STAGES) -> DataFrame:
-    """Funnel per device type; a user counts once per device used, users
-    without sessions form the NULL device row."""
+    """Funnel per device type, by conversion rate from high to low; a user
+    counts once per device used, users without sessions form the NULL device row."""
     (d1, m1), (d2, m2) = stages
     per_ud = _session_counts(t, stages, by_device=True)
     rows = back_to_users(t.users.select("user_id", "plan_type"), per_ud, ["n_sessions", f"n_d{d1}", f"n_d{d2}"])
@@ -75,7 +76,8 @@ def funnel_by_device(t: ProductTables, stages: Sequence[tuple[int, int]] = DEFAU
         sum_flag(F.col(f"n_d{d1}") >= m1).alias("day7_active"),
         sum_flag(F.col(f"n_d{d2}") >= m2).alias("day30_active"),
         sum_flag(F.col("plan_type") == "premium").alias("converted"))
-    return g.withColumn("conversion_rate_pct", pct("converted", "total_users", 2))
+    return ordered(g.withColumn("conversion_rate_pct", pct("converted", "total_users", 2)),
+                   "-conversion_rate_pct", "device_type")
 
 
 def funnel_elapsed_days(t: ProductTables, stages: Sequence[tuple[int, int]] = DEFAULT_STAGES) -> DataFrame:

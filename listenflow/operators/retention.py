@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listenflow.functions.dates import week_start
 from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user
+from listenflow.operators.ordering import ordered
 from listenflow.session import materialize
 from listenflow.sources.product import ProductTables
 
@@ -34,11 +35,11 @@ def _cohort_sizes(t: ProductTables) -> DataFrame:
 
 
 def cohort_retention(t: ProductTables, max_week: int = MAX_WEEK) -> DataFrame:
-    """Observed (cohort, week) pairs with retention % rounded to 1 dp."""
+    """Observed (cohort, week) pairs, in order, with retention % rounded to 1 dp."""
     a = _cohort_activity(t, "session_date", max_week)
     j = a.join(_cohort_sizes(t), "cohort_week", "inner")
-    return j.select("cohort_week", "cohort_size", "week_number", "active_users",
-                    pct("active_users", "cohort_size", 1).alias("retention_pct"))
+    return ordered(j.select("cohort_week", "cohort_size", "week_number", "active_users",
+                            pct("active_users", "cohort_size", 1).alias("retention_pct")), "cohort_week", "week_number")
 
 
 def cohort_retention_elapsed(t: ProductTables, max_week: int = MAX_WEEK) -> DataFrame:
@@ -87,7 +88,7 @@ def cohort_day3_vs_retention(t: ProductTables, week: int = 4, day3: int = 3) ->
     s = attach_user(t.sessions.select("user_id", "session_id", "session_date"), t.users, ["signup_date"],
                     condition=lambda c: c("f.session_date").between(c("u.signup_date"),
                                                                     F.date_add(c("u.signup_date"), day3)))
-    per_user = s.groupBy("user_id").agg(F.countDistinct("session_id").cast("long").alias("d3"))
+    per_user = s.groupBy("user_id").agg(F.count("session_id").cast("long").alias("d3"))
     u = t.users.select("user_id", week_start("signup_date").alias("cohort_week")) \
                .join(per_user, "user_id", "left")
     c = u.groupBy("cohort_week").agg(F.count(F.lit(1)).cast("long").alias("cohort_size"),

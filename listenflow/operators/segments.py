@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from listenflow.functions.numeric import pct, round_half_away
 from listenflow.operators._user import attach_user, back_to_users
 from listenflow.operators.features import _events_per_session
+from listenflow.operators.ordering import ordered
 from listenflow.operators.ranking import exact_ntile, exact_percentiles
 from listenflow.session import materialize
 from listenflow.sources.product import ProductTables
@@ -50,7 +51,7 @@ def _free_user_stats(t: ProductTables, as_written: bool) -> DataFrame:
     s = s.join(ev, "session_id", "left")
     weight = F.greatest(F.coalesce("n_events", F.lit(0)), F.lit(1)) if as_written else F.lit(1)
     per_user = s.groupBy("user_id").agg(
-        F.countDistinct("session_id").cast("long").alias("total_sessions"),
+        F.count("session_id").cast("long").alias("total_sessions"),
         F.sum(F.col("session_duration_sec") * weight).cast("long").alias("_secs"),
         F.countDistinct("session_date").cast("long").alias("active_days"),
         *[F.sum(F.coalesce(f"n_{et}", F.lit(0))).cast("long").alias(name)
@@ -73,14 +74,15 @@ def _tier_score() -> F.Column:
 
 
 def free_user_tiers(t: ProductTables, n: int = 4, as_written: bool = True) -> DataFrame:
-    """Free users scored and cut into ``n`` tiles by score (desc, then user_id)."""
+    """Free users scored and cut into ``n`` tiles by score (desc, then user_id),
+    in that order."""
     scored = _free_user_stats(t, as_written).withColumn("engagement_score", _tier_score())
     tiles = exact_ntile(scored, n, [F.col("engagement_score").desc(), F.col("user_id").asc()],
                         out="engagement_quartile")
-    return tiles.select("user_id", "total_sessions", round_half_away("total_hours", 1).alias("total_hours"),
-                        "active_days", "playlist_saves", "likes", "upgrade_clicks", "ad_views",
-                        "engagement_score", "engagement_quartile",
-                        _label("engagement_quartile", TIER_LABELS).alias("user_segment"))
+    return ordered(tiles.select(
+        "user_id", "total_sessions", round_half_away("total_hours", 1).alias("total_hours"),
+        "active_days", "playlist_saves", "likes", "upgrade_clicks", "ad_views", "engagement_score", "engagement_quartile",
+        _label("engagement_quartile", TIER_LABELS).alias("user_segment")), "-engagement_score", "user_id")
 
 
 def free_user_tiers_corrected(t: ProductTables, n: int = 4) -> DataFrame:
@@ -89,11 +91,11 @@ def free_user_tiers_corrected(t: ProductTables, n: int = 4) -> DataFrame:
 
 
 def conversion_by_quartile(t: ProductTables, n: int = 4) -> DataFrame:
-    """All users cut into ``n`` tiles by lifetime sessions; conversion per tile."""
+    """All users cut into ``n`` tiles by lifetime sessions; conversion per tile, in order."""
     s = attach_user(t.sessions.select("session_id", "user_id", "session_date", "session_duration_sec"),
                     t.users, [])
     per_user = s.groupBy("user_id").agg(
-        F.countDistinct("session_id").cast("long").alias("total_sessions"),
+        F.count("session_id").cast("long").alias("total_sessions"),
         (F.sum("session_duration_sec") / F.lit(3600.0)).alias("total_hours"),
         F.countDistinct("session_date").cast("long").alias("active_days"))
     u = back_to_users(t.users.select("user_id", "plan_type"), per_user, ["total_sessions", "active_days"])
@@ -102,10 +104,10 @@ def conversion_by_quartile(t: ProductTables, n: int = 4) -> DataFrame:
         F.count(F.lit(1)).cast("long").alias("total_users"),
         F.sum(F.when(F.col("plan_type") == "premium", 1).otherwise(0)).cast("long").alias("premium_users"),
         F.avg("total_hours").alias("avg_hours"), F.avg("active_days").alias("avg_active_days"))
-    return g.select("session_quartile", _label("session_quartile", QUARTILE_LABELS).alias("segment_label"),
-                    "total_users", "premium_users", round_half_away("avg_hours", 1).alias("avg_hours"),
-                    round_half_away("avg_active_days", 1).alias("avg_active_days"),
-                    pct("premium_users", "total_users", 2).alias("conversion_rate_pct"))
+    return ordered(g.select("session_quartile", _label("session_quartile", QUARTILE_LABELS).alias("segment_label"),
+                            "total_users", "premium_users", round_half_away("avg_hours", 1).alias("avg_hours"),
+                            round_half_away("avg_active_days", 1).alias("avg_active_days"),
+                            pct("premium_users", "total_users", 2).alias("conversion_rate_pct")), "session_quartile")
 
 
 def _qcut_score() -> F.Column:
@@ -132,7 +134,13 @@ def qcut_scored(features: DataFrame) -> DataFrame:
     return j.withColumn("segment", seg).drop("q1", "q2", "q3")
 
 
+def _place(col: str, labels) -> F.Column:
+    """1-based place of a label in ``labels``."""
+    return F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(col)).cast("int")
+
+
 def engagement_qcut_segments(features: DataFrame) -> DataFrame:
+    """One row per segment, from the lowest score bin to the highest."""
     scored = qcut_scored(features).where(F.col("segment").isNotNull())
     g = scored.groupBy("segment").agg(
         F.count("user_id").cast("long").alias("users"),
@@ -141,11 +149,13 @@ def engagement_qcut_segments(features: DataFrame) -> DataFrame:
         F.avg("sessions_d7").alias("avg_sessions"),
         round_half_away(F.avg("total_listen_min_d7"), 9).alias("avg_listen_min"),   # order-independent
         F.avg("playlist_saves_d7").alias("avg_saves"))
-    return g.select("segment", "users", "conversion_rate", "avg_sessions", "avg_listen_min", "avg_saves",
-                    pct("_conv", "users", 1).alias("conversion_rate_pct"))
+    return ordered(g.select("segment", "users", "conversion_rate", "avg_sessions", "avg_listen_min", "avg_saves",
+                            pct("_conv", "users", 1).alias("conversion_rate_pct"),
+                            _place("segment", QCUT_LABELS).alias("segment_order")), "segment_order")
 
 
 def segment_share(segments: DataFrame) -> DataFrame:
     """Share of users per segment (input has one row per segment)."""
     total = F.sum("users").over(Window.partitionBy())   # at most four rows
-    return segments.select("segment", "users", pct(F.col("users"), total, 1).alias("share_pct"))
+    return ordered(segments.select("segment", "users", pct(F.col("users"), total, 1).alias("share_pct"),
+                                   _place("segment", QCUT_LABELS).alias("segment_order")), "segment_order")

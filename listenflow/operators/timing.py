@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listenflow.functions.dates import MICROS_PER_DAY, elapsed_micros
 from listenflow.functions.numeric import pct, round_half_away
+from listenflow.operators.ordering import ordered
 from listenflow.operators.ranking import exact_percentiles
 from listenflow.session import materialize
 from listenflow.sources.product import ProductTables
@@ -17,7 +18,8 @@ def days_to_convert(t: ProductTables) -> DataFrame:
     g = u.groupBy(F.datediff("converted_date", "signup_date").cast("long").alias("days_to_convert")) \
          .agg(F.count(F.lit(1)).cast("long").alias("users"))
     total = F.sum("users").over(Window.partitionBy())   # one row per distinct day count
-    return g.select("days_to_convert", "users", pct(F.col("users"), total, 1).alias("pct_of_converters"))
+    return ordered(g.select("days_to_convert", "users", pct(F.col("users"), total, 1).alias("pct_of_converters")),
+                   "days_to_convert")
 
 
 def _clickers(t: ProductTables) -> DataFrame:

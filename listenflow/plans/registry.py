@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import uuid
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from listenflow.operators import (churn, content, experiment, features, funnel, model, retention,
                                   segments, timing, validate)
 from listenflow.session import checkpoint_dir
+from listenflow.sources import feature_weeks
 from listenflow.sources.sinks import export_features_csv, save_feature_table
 from listenflow.sources.product import load_product_tables, stored
 
@@ -29,6 +31,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 # fixed evaluation dates of the churn queries (stand-ins for CURRENT_DATE)
 CHURN_AS_OF = dt.date(2024, 2, 25)
 CHURN_AS_OF_ALT = dt.date(2024, 2, 21)
+# the weekly feature table first knows the data up to this date
+FEATURES_KNOWN_TO = dt.date(2024, 1, 10)
 WIDE_STAGES = ((7, 15), (30, 40))
 
 
@@ -150,7 +154,25 @@ def feature_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(frame.schema).option("header", True).csv(path)
 
 
+def feature_table_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly feature table: built from the users and facts up to a date,
+    then brought up to date with the rest, then read."""
+    t = load_product_tables(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/listenflow/{uuid.uuid4().hex}"
+    known = FEATURES_KNOWN_TO
+
+    def upto(df: DataFrame, c: str) -> DataFrame:
+        return df.where(F.col(c) <= F.lit(known))
+    early = replace(t, users=upto(t.users, "signup_date"), sessions=upto(t.sessions, "session_date"),
+                    plays=upto(t.plays, "play_date"), source=None)
+    feature_weeks.rebuild(early, path)
+    last = t.users.agg(F.max("signup_date")).first()[0]
+    feature_weeks.update(t, path, known + dt.timedelta(days=1), max(last, known))
+    return feature_weeks.read(spark, path)
+
+
 QUERIES["feature_table_stored"] = feature_table_stored
+QUERIES["feature_table_by_week"] = feature_table_by_week
 QUERIES["feature_export_csv"] = feature_export_csv
 
 # queries without a SQL oracle (iterative fit): the driver checks rows only
