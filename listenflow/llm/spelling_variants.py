@@ -152,8 +152,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """``word, form, n, n_near, form_n`` of every word."""
-    sides = pairs.select(F.col("a").alias("word"), F.col("b").alias("w"), F.col("nb").alias("c")).union(
-        pairs.select(F.col("b").alias("word"), F.col("a").alias("w"), F.col("na").alias("c")))
+    def side(word: str, other: str, n: str) -> Column:
+        return F.struct(F.col(word).alias("word"), F.col(other).alias("w"), F.col(n).alias("c"))
+    sides = pairs.select(F.inline(F.array(side("a", "b", "nb"), side("b", "a", "na"))))
     best = sides.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("c"), "w")).alias("best"))
     known = -F.col("best.col1") >= ratio * F.col("n")
     return words.join(best, "word", "left").select(
