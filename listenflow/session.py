@@ -84,7 +84,18 @@ def materialize(df):
     re-running the upstream jobs.  Parquet rather than an RDD checkpoint, so
     the copy is columnar and compressed and readers prune its columns.
     """
-    return df.sparkSession.read.parquet(materialize_to_path(df))
+    path = materialize_to_path(df)
+    out = df.sparkSession.read.parquet(path)
+    out._lf_path = path
+    return out
+
+
+def discard(*frames) -> None:
+    """Delete the copies behind frames that :func:`materialize` returned, once
+    the last job that reads them has ended."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._lf_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize_to_path(df) -> str:
