@@ -13,28 +13,35 @@ so the first ``x - t(x) + k(x)`` shingles of one and the first
 does not fall with the size.  Only these prefixes are indexed.
 
 *Rare and frequent tokens.*  A prefix token in more than ``RARE`` prefixes is
-frequent.  Rare tokens are indexed one by one.  A node with fewer frequent
-tokens in its prefix than ``k`` asks for must share a rare one with any
-partner, so frequent tokens matter only between nodes with many of them.
-These nodes extend their prefix further, until the shared tokens of a linked
-pair outnumber the ones that either side has alone: then two shared tokens
-are neighbours in both prefixes, and the combinations of two neighbouring
-tokens are the index entries.  (This needs a similarity of 75 % or more.)
-
-*Verification without all pairs.*  First every entry is compared with the
-centre of its index group (the node with the fewest prefix tokens of its own,
-such as the original of edited copies), which joins groups of near copies by
-few comparisons per member; then, in groups that still hold several components,
-the members outside the group's largest component are compared with the
-members of other components.  Pairs inside one component add nothing to the
-result and are never made.  Pairs whose sizes, or whose number of shared
-prefix tokens, rule a link out are dropped before the sets are compared; the
-sets are compared in full.
+frequent.  Rare tokens are indexed one by one, and all nodes of one are
+compared.  A node with fewer frequent tokens in its prefix than ``k`` asks for
+must share a rare one with any partner, so frequent tokens matter only between
+nodes with many of them.  For these the combinations of many tokens are the
+index entries: linked sets of sizes ``x`` and ``y`` differ in at most
+``m = (x + y) * (100 - similarity) / (100 + similarity)`` tokens, so if the
+tokens are dealt into ``m + 1`` classes by their hash, all tokens of one class
+are equal.  A class holds about ``similarity / (100 - similarity)`` / 2 tokens
+or more; sets are indexed for their own range of sizes and the next one, so
+that both sides of a link deal alike.
+
+*Groups without all pairs.*  Copies of one text may form groups of any size.
+Every entry is compared with the centre of its group (the node with the fewest
+prefix tokens of its own, such as the original of edited copies); what links
+with the centre is connected.  For the others, a set is its difference ``D`` to
+the centre: ``|x ^ y| = |D(x) ^ D(y)|``.  If ``x`` does not link with the centre and
+does with ``y``, then ``x`` holds more than ``(1 - b) / 2`` of ``D(y)``, where
+``b = (100 - similarity) / (100 + similarity)``.  So any ``|D(y)| - t + 1``
+tokens of ``D(y)`` hold one of ``x``'s, ``t`` the number it must share: ``y`` is
+indexed by that many (tokens the centre lacks first, as they are rare, then
+some of the others in an order of its own), and ``x`` looks all of its own up.
+Pairs inside one component add nothing and are not made; sizes and distances to
+the centre rule pairs out before they are made; the differences decide.
 
 Defined cases: null, empty and white-space texts have an empty set, link with
 nothing and are their own component; fewer words than ``n`` make one shingle
-of the whole sequence; repeated rows (also of one id) fold into one node; an
-empty table gives an empty result.
+of the whole sequence; repeated rows (also of one id) fold into one node; rows
+with a null id link like others, but lend no id to their component (it is null
+if all of its ids are); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,8 +55,8 @@ from pyspark.sql import functions as F
 
 from listenflow.llm.common import map_texts, narrow, prepare, table, utf8
 from listenflow.llm.components import connected_components
-from listenflow.llm.words import WordHashes, window_hashes
-from listenflow.session import materialize
+from listenflow.llm.words import WordHashes, mix, window_hashes
+from listenflow.session import discard, materialize
 
 SIMILARITY = 90         # percent
 SHINGLE = 3             # words
@@ -88,11 +95,31 @@ def _shared(n, similarity: int):
     return min(need, EXTRA + n // EXTRA_PER)
 
 
-def _neighbourly(n: int, similarity: int) -> int:
-    """Prefix length at which a linked pair has two shared tokens next to each other."""
-    partner = n * 100 // similarity
-    alone = n - _need(n, similarity) + partner - _need(partner, similarity)
-    return n - _need(n, similarity) + min(_need(n, similarity), alone + 2)
+def _apart(total: int, similarity: int) -> int:
+    """Tokens in which linked sets of ``total`` tokens together differ at most."""
+    return total * (100 - similarity) // (100 + similarity)
+
+
+def size_ranges(largest: int, similarity: int) -> list[int]:
+    """First sizes of the ranges; a partner's size is in the same or a neighbouring range."""
+    out = [1]
+    while out[-1] <= largest:
+        out.append(out[-1] * 100 // similarity + 1)
+    return out + [out[-1] * 100 // similarity + 1, (out[-1] * 100 // similarity + 1) * 100 // similarity + 1]
+
+
+def class_signatures(s: np.ndarray, ranges: list[int], similarity: int) -> np.ndarray:
+    """Index entries of a set: for its range of sizes and the next one, a hash
+    of the tokens of each class."""
+    own = int(np.searchsorted(ranges, len(s), side="right")) - 1
+    out = []
+    for level in (own, own + 1):
+        classes = _apart(2 * (ranges[level + 1] - 1), similarity) + 1
+        which = ((s >> np.uint64(13)) % np.uint64(classes)).astype(np.int64)
+        sums = np.zeros(classes, np.uint64)
+        np.add.at(sums, which, mix(s, 5))       # an order-free hash of the class
+        out.append(mix(sums + mix(np.uint64(level << 32) + np.arange(classes, dtype=np.uint64), 7), 9))
+    return np.concatenate(out)
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -109,7 +136,7 @@ def prefixes(docs: DataFrame, similarity: int, n: int) -> DataFrame:
             size = len(s)
             # a set that cannot differ from a partner by one shingle links with equal sets only
             alone = 100 * size < similarity * (size + 1)
-            longest = max(size - _need(size, similarity) + _shared(size, similarity), _neighbourly(size, similarity))
+            longest = size - _need(size, similarity) + _shared(size, similarity)
             cut.append(b"" if alone else s[:longest].astype("<u8").tobytes())
         return pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()),
                                 pa.array([_key(s) for s in sets], pa.binary()), pa.array(cut, pa.binary())],
@@ -118,43 +145,42 @@ def prefixes(docs: DataFrame, similarity: int, n: int) -> DataFrame:
     return map_texts(docs, run, "doc_id long, n long, key binary, prefix binary")
 
 
-def _entries(groups: DataFrame, similarity: int) -> DataFrame:
+def _entries(groups: DataFrame) -> DataFrame:
     """``token, node`` rows of the prefixes."""
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
-            parts = [np.frombuffer(p, "<i8")[:n - _need(n, similarity) + _shared(n, similarity)]
-                     for n, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            parts = [np.frombuffer(p, "<i8") for p in b.column(1).to_pylist()]
             if parts:
                 yield pa.record_batch([pa.array(np.concatenate(parts)), pa.array(np.repeat(node, [len(p) for p in parts]))],
                                       names=["token", "node"])
-    return groups.where("length(prefix) > 0").select("node", "n", "prefix").mapInArrow(run, "token long, node long")
+    return groups.where("length(prefix) > 0").select("node", "prefix").mapInArrow(run, "token long, node long")
 
 
-def _combinations(groups: DataFrame, similarity: int) -> DataFrame:
-    """``bucket, node`` rows: two neighbouring tokens of the longer prefixes."""
+def _combinations(sets: DataFrame, similarity: int) -> DataFrame:
+    """``bucket, node`` rows: the class signatures of ``node, s``."""
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
-            parts = [np.frombuffer(p, "<u8")[:_neighbourly(n, similarity)]
-                     for n, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            pairs = [window_hashes(p, 2).view(np.int64) for p in parts]
-            if pairs:
-                yield pa.record_batch([pa.array(np.concatenate(pairs)), pa.array(np.repeat(node, [len(p) for p in pairs]))],
+            found = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
+            if found:
+                ranges = size_ranges(max(map(len, found)), similarity)
+                keys = [class_signatures(x, ranges, similarity).view(np.int64) for x in found]
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.repeat(node, [len(k) for k in keys]))],
                                       names=["bucket", "node"])
-    return groups.select("node", "n", "prefix").mapInArrow(run, "bucket long, node long")
+    return sets.select("node", "s").mapInArrow(run, "bucket long, node long")
 
 
 def _fits(a: Column, b: Column, similarity: int) -> Column:
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def _verify(pairs: DataFrame, groups: DataFrame, docs: DataFrame, similarity: int, n: int) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose sets link.  The sets are built again
-    from the texts of the nodes in question, one text per node."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = groups.join(ids, "node", "left_semi").select("node", "key", F.col("rep").alias("_id"))
-    texts = docs.join(wanted.select("_id").distinct().hint("shuffle_hash"), "_id", "left_semi")
+def _sets(ids: DataFrame, groups: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``node, s`` of the nodes in ``ids``, built again from the text of one
+    row each; written once."""
+    wanted = groups.join(ids.select("node").distinct(), "node", "left_semi").select("node", "key", F.col("rep").alias("_rep"))
+    # a null id is looked up among the rows without an id
+    texts = docs.join(wanted.select("_rep").distinct().hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
 
     def run(ids_, texts_):
         sets = shingle_sets(utf8(texts_), run_hashes.setdefault("h", WordHashes()), n)
@@ -163,88 +189,159 @@ def _verify(pairs: DataFrame, groups: DataFrame, docs: DataFrame, similarity: in
     run_hashes: dict = {}
     sets = map_texts(texts, run, "key binary, s binary")
     # rows that repeat an id with another text give keys nobody asked for, repeated rows the same key twice
-    by_node = materialize(sets.join(wanted.select("node", "key"), "key").select("node", "s").dropDuplicates(["node"]))
-    both = (pairs.join(by_node.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-            .join(by_node.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
+    return materialize(sets.join(wanted.select("node", "key"), "key").select("node", "s").dropDuplicates(["node"]))
+
+
+def _linked(apart: int, total: int, similarity: int) -> bool:
+    return apart * (100 + similarity) <= total * (100 - similarity)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The ``a, b`` of ``pairs`` whose sets link."""
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
 
     def compare(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= similarity * (len(x) + len(y) - common))
+                either = len(np.unique(np.concatenate([x, y])))
+                keep.append(_linked(2 * either - len(x) - len(y), len(x) + len(y), similarity))
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
     return both.mapInArrow(compare, "a long, b long")
 
 
+STAR = "pivot long, node long, n long, apart long, linked boolean, diff binary, chosen binary"
+
+
+def indexed_part(x: np.ndarray, diff: np.ndarray, node: int, similarity: int) -> np.ndarray:
+    """Tokens of ``diff`` that ``node`` is indexed by: enough that whoever links
+    with it, but not with the centre, holds one; tokens of the set first."""
+    shared = len(diff) * similarity // (100 + similarity) + 1     # more than (1 - b) / 2 of them
+    own = np.isin(diff, x, assume_unique=True)
+    # the others in an order of this node's own, so that they spread over the index
+    order = np.lexsort([mix(diff ^ np.uint64(node & 0xFFFFFFFFFFFF), 11), ~own])
+    return diff[order[:max(len(diff) - shared + 1, 0)]]
+
+
+def _stars(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``STAR`` rows of ``pivot, node``: the difference of each node to its centre."""
+    both = (pairs.join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("sp")), "pivot")
+            .join(sets, "node").select("pivot", "node", "sp", "s"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for pivot, node, p, x in zip(*(c.to_pylist() for c in b.columns)):
+                p, x = np.frombuffer(p, "<u8"), np.frombuffer(x, "<u8")
+                diff = np.setxor1d(p, x, assume_unique=True)
+                out.append((pivot, node, len(x), len(diff), _linked(len(diff), len(p) + len(x), similarity),
+                            diff.astype("<u8").tobytes(), indexed_part(x, diff, node, similarity).astype("<u8").tobytes()))
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)],
+                                  names=["pivot", "node", "n", "apart", "linked", "diff", "chosen"])
+    return materialize(both.mapInArrow(run, STAR))
+
+
+def _diff_tokens(rows: DataFrame, tokens: str) -> DataFrame:
+    """One row per token of the binary column ``tokens``."""
+    names = ["pivot", "node", "n", "apart", "comp"]
+
+    def run(batches):
+        for b in batches:
+            parts = [np.frombuffer(x, "<i8") for x in b.column(len(names)).to_pylist()]
+            if parts:
+                at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+                yield pa.record_batch([*[b.column(i).take(at) for i in range(len(names))], pa.array(np.concatenate(parts))],
+                                      names=[*names, "token"])
+    return rows.select(*names, tokens).mapInArrow(run, "pivot long, node long, n long, apart long, comp long, token long")
+
+
+def _around_centres(stars: DataFrame, comps: DataFrame, similarity: int) -> DataFrame:
+    """Links ``a, b`` between nodes around one centre, one of which does not
+    link with the centre."""
+    some = stars.where("not linked").select("pivot").distinct()
+    rows = (stars.join(some, "pivot", "left_semi").join(comps.select("node", "comp"), "node", "left")
+            .withColumn("comp", F.coalesce("comp", "node")))
+    rows = materialize(rows)
+    x = _diff_tokens(rows.where("not linked"), "diff").alias("x")
+    y = _diff_tokens(rows, "chosen").alias("y")
+    able = (F.col("x.comp") != F.col("y.comp")) & (
+        F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + similarity) <= (F.col("x.n") + F.col("y.n")) * (100 - similarity))
+    met = (x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token"))).where(able)
+           .select(F.col("x.pivot").alias("pivot"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    side = rows.select("pivot", "node", "n", "diff")
+    both = (met.join(side.select("pivot", F.col("node").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da")), ["pivot", "a"])
+            .join(side.select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db")), ["pivot", "b"])
+            .select("a", "b", "na", "nb", "da", "db"))
+
+    def compare(batches):
+        for b in batches:
+            keep = [_linked(len(np.setxor1d(np.frombuffer(u, "<u8"), np.frombuffer(v, "<u8"), assume_unique=True)), na + nb, similarity)
+                    for na, nb, u, v in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: int = SIMILARITY, shingle: int = SHINGLE, rare: int = RARE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    if similarity < 75:
+    if not 75 <= similarity <= 100:     # below, a class of tokens is hardly a combination
         raise ValueError("similarity must be at least 75 percent")
     docs = narrow(docs, id_col, text_col)
-    rows = materialize(prefixes(docs, similarity, shingle))
-    groups = materialize(rows.where("n > 0").groupBy("key")
-                         .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-                         .withColumn("node", F.monotonically_increasing_id()))
-    sizes = groups.select("node", "n")
-
-    entries = materialize(_entries(groups, similarity))
-    tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    made = materialize(prefixes(docs, similarity, shingle))
+    full = materialize(made.where("n > 0").groupBy("key")
+                       .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+                       .withColumn("node", F.monotonically_increasing_id()))
+    rows, groups = materialize(made.select("doc_id", "n", "key")), materialize(full.select("node", "key", "rep", "n"))
+    discard(made)
+
+    entries = _entries(full)
+    tokens = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = materialize(entries.join(tokens, "token"))
+    discard(full, tokens)
     f_count = shared.groupBy("node").agg(F.count(F.lit(1)).alias("met"),
                                          F.count(F.when(F.col("df") > rare, 1)).alias("f"))
     need = _need(F.col("n"), similarity)
-    info = materialize(sizes.join(f_count, "node", "left").select(
+    info = materialize(groups.join(f_count, "node", "left").select(
         "node", "n", F.coalesce("f", F.lit(0)).cast("long").alias("f"),
         _shared(F.col("n"), similarity).alias("k"), _shared(need, similarity).alias("k_low"),
         # prefix tokens that no other node has
         (F.col("n") - need + _shared(F.col("n"), similarity) - F.coalesce("met", F.lit(0))).alias("own")))
 
-    # token combinations, for the nodes that may share frequent tokens only
+    # 1: nodes that share rare tokens, at most RARE of them a token
+    one = shared.where(F.col("df") <= rare).select("token", "node")
+    met = (one.select("token", F.col("node").alias("a")).join(one.select("token", F.col("node").alias("b")), "token")
+           .where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
+    a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("k").alias("ka"))
+    b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("k").alias("kb"))
+    # shared rare tokens plus all frequent ones must reach k of the smaller set
+    enough = F.col("c") + F.least("fa", "fb") >= F.least("ka", "kb")
+    pairs = materialize(met.join(a, "a").join(b, "b")
+                        .where(_fits(F.col("na"), F.col("nb"), similarity) & enough).select("a", "b"))
+    discard(shared)
+
+    # 2: nodes that may share frequent tokens only, by combinations of many tokens
     many = info.where("f >= k_low").select("node")
-    combos = materialize(_combinations(groups.join(many, "node", "left_semi"), similarity))
-    members = (shared.where(F.col("df") <= rare).select(F.col("token").alias("bucket"), "node", F.lit(1).alias("one"))
-               .union(combos.select("bucket", "node", F.lit(0).alias("one")).distinct()))
-    # the centre of a group: the node with the fewest tokens of its own, such as
-    # the original of many edited copies; the copies link with it, not with each other
+    sets = _sets(many.union(pairs.select("a")).union(pairs.select("b")), groups, docs, shingle)
+    members = materialize(_combinations(sets.join(many, "node", "left_semi"), similarity))
     central = F.min(F.struct("own", "node"))["node"]
     pivots = (members.join(info.select("node", "own"), "node").groupBy("bucket")
               .agg(F.count(F.lit(1)).alias("c"), central.alias("pivot")).where("c > 1").select("bucket", "pivot"))
-    buckets = materialize(members.join(pivots, "bucket"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("k").alias("ka"))
-        b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("k").alias("kb"))
-        fits = _fits(F.col("na"), F.col("nb"), similarity)
-        # shared rare tokens plus all frequent ones must reach k of the smaller set
-        enough = F.col("c") + F.least("fa", "fb") >= F.least("ka", "kb")
-        return pairs.join(a, "a").join(b, "b").where(fits & enough).select("a", "b")
-
-    # 1: each entry against the centre of its group
-    star = (buckets.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            .agg(F.sum("one").alias("c")))
-    star = materialize(sized(star))
-    links = materialize(_verify(star, groups, docs, similarity, shingle))
-    comps = connected_components(links, "a", "b")
+    star = members.join(pivots, "bucket").where("node <> pivot").select("pivot", "node").distinct()
+    stars = _stars(star, sets, similarity)
+    discard(members)
 
-    # 2: what is still apart inside a group
-    colour = F.coalesce("comp", "node").alias("comp")
-    coloured = materialize(buckets.join(comps, "node", "left").select("bucket", "node", "one", colour))
-    per = coloured.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = (per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main"))
-               .where("comps > 1").select("bucket", "main"))
-    open_ = materialize(coloured.join(largest, "bucket"))
-    left = open_.where("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    right = open_.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "one")
-    met = (left.join(right, "bucket").where("cx <> cy and (cy = main or x < y)")
-           .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("one").alias("c")))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(sized(met).join(tried, ["a", "b"], "left_anti"))
-    links = links.union(_verify(rest, groups, docs, similarity, shingle))
+    links = materialize(_verify(pairs, sets, similarity).union(stars.where("linked").select("pivot", "node")))
+    discard(pairs, sets)
     comps = connected_components(links, "a", "b")
+    more = materialize(_around_centres(stars, comps, similarity))
+    discard(stars)
+    if more.limit(1).count():
+        comps = connected_components(links.union(more), "a", "b")
 
     node_comp = groups.select("key", "node", "rep").join(comps, "node", "left").select(
         "key", "rep", F.coalesce("comp", "node").alias("comp"))

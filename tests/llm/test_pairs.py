@@ -11,12 +11,12 @@ from listenflow.llm.components import connected_components
 from tests.llm.cases import documents, empty, rows_by_id, texts, words
 
 
-def brute_links(all_texts, similarity=90):
+def brute_links(all_texts, similarity=90, n=3):
+    """Set sizes and smallest index of each component, by all pairs."""
     sets = []
     for t in all_texts:
-        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-        w = words(w)
-        sets.append({tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
     comp = list(range(len(sets)))
 
     def root(i):
@@ -55,6 +55,57 @@ def test_components_match_brute_force(spark):
     assert [got[i].component_id for i in range(len(sizes))] == comp
 
 
+def edited_copies(seed):
+    """Groups of copies with many edits: most do not link with the original,
+    some with each other (shared edits, words taken out at the same place)."""
+    rnd = random.Random(seed)
+    out = []
+    for size, copies in ((50, 60), (90, 60), (25, 30)):
+        base = [f"b{seed}_{size}_{i}" for i in range(size)]
+        edits = [(rnd.randrange(size), rnd.choice([None, f"e{k}"])) for k in range(12)]
+        for k in range(copies):
+            v = list(base)
+            for at, word in rnd.sample(edits, rnd.randint(0, 5)):
+                v[at] = word
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                v[rnd.randrange(size)] = f"own{seed}_{k}"
+            v = [w for w in v if w is not None]
+            out.append(" ".join(v + [f"tail{k}"] * rnd.choice([0, 0, 1])))
+    return out
+
+
+@pytest.mark.parametrize("similarity, n, rare", [(90, 3, 2), (80, 5, 2), (80, 2, 1), (75, 3, 4)])
+def test_groups_around_centres_match_brute_force(spark, similarity, n, rare):
+    more = edited_copies(1) + edited_copies(2)
+    got = rows_by_id(jaccard_join.link_components(documents(spark, more), similarity=similarity, shingle=n, rare=rare))
+    sizes, comp = brute_links([*texts(), *more], similarity, n)
+    assert [got[i].n_shingles for i in range(len(sizes))] == sizes
+    assert [got[i].component_id for i in range(len(sizes))] == comp
+
+
+def test_a_passage_shared_by_many(spark):
+    """One passage makes up most of many documents that do not link."""
+    passage = [f"p{i}" for i in range(40)]
+    more = [" ".join(passage[:20] + [f"u{k}_{i}" for i in range(8 + k % 5)] + passage[20:]) for k in range(120)]
+    got = rows_by_id(jaccard_join.link_components(documents(spark, more), rare=2))
+    _, comp = brute_links([*texts(), *more])
+    assert [got[i].component_id for i in range(len(comp))] == comp
+
+
+def test_null_id_keeps_its_links(spark):
+    """The first text links with the two others, which do not link with each other."""
+    base = [f"w{i}" for i in range(100)]
+    left, right = base[:-1] + ["x"], ["y"] + base[1:]
+    left[40], right[60] = "l", "r"
+    rows = [(None, " ".join(base)), (1, " ".join(left)), (2, " ".join(right)), (None, None), (None, " ".join(base))]
+    for rare in (1, 8):
+        found = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in found if r.n_shingles) == [
+            (False, 1, 1), (False, 2, 1), (True, 0, 1), (True, 0, 1)]
+    both = brute_links([t for _, t in rows[1:3]])[1]
+    assert both == [0, 1]
+
+
 def test_components_of_nothing_and_low_similarity(spark):
     assert jaccard_join.link_components(empty(spark)).count() == 0
     with pytest.raises(ValueError):
@@ -123,26 +174,6 @@ def test_pipeline_stages(spark):
         assert stage(spark, empty(spark).select(*docs.columns), sf).count() == 0
 
 
-def brute_leaders(all_texts, similarity, n):
-    sets = []
-    for t in all_texts:
-        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
-    comp = list(range(len(sets)))
-
-    def root(i):
-        while comp[i] != i:
-            i = comp[i]
-        return i
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= similarity * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((root(i), root(j)))
-                comp[b] = a
-    return {root(i) for i in range(len(sets))}
-
-
 def test_pipeline_near_copies_by_five_words(spark):
     """The stage as the pipeline runs it; the last text has four scattered
     changes (180 of 220 shingles of five words, 190 of 214 of three)."""
@@ -152,5 +183,5 @@ def test_pipeline_near_copies_by_five_words(spark):
     stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
     got = {r.doc_id for r in stage(spark, documents(spark, more), "").collect()}
     everything = [*texts(), *more]
-    assert got == brute_leaders(everything, 80, 5)
+    assert got == set(brute_links(everything, 80, 5)[1])
     assert len(everything) - 2 in got and len(everything) - 1 not in got
