@@ -10,17 +10,18 @@ characters: the value is cut into segments, each a dictionary word (also with
 letters swapped for digits), a date, a repeat, a keyboard walk or brute force,
 and the cheapest segmentation counts.  The cost alone decides, so that plain
 words of prose are told from secrets by the dictionary: Spark counts the
-documents that each run of ``WORD_CHARS`` letters a-z occurs in, outside of
-values in a credential context, and of each of ``WORD_CLASSES`` hash classes
-the ``CLASS_WORDS`` most frequent words (at most 32,768 together) are ranked.
-A fixed list of common words keeps its ranks where they are lower.  Of a value
-that fixed spans cover in part, the pieces outside them are scored, up to the
-closing quote of a quoted value.  The cost of a segmentation of ``k``
-segments is ``log10(k!) + sum(log10(guesses of a segment))``.  The dynamic
-program keeps the best cost per (position, number of segments up to
-``MAX_SEGMENTS``), so a value of n characters takes O(n * LONGEST * segments)
-steps; only the longest possible value, ``VALUE_CHARS``, is scored by it in
-full and longer values are cut into blocks of that length whose costs add up.
+documents that each word of ``WORD_CHARS`` letters occurs in, outside of values
+in a credential context.  A word stands between white space, punctuation or
+quotes, so that letters inside keys and hashes are none, and has to occur in at
+least ``MIN_TEXTS`` different texts, so that a password mentioned once is none.
+Of each of ``WORD_CLASSES`` hash classes the ``CLASS_WORDS`` most frequent words
+(at most 32,768 together) are ranked.  A fixed list of common words keeps its
+ranks where they are lower.  Of a value that fixed spans cover in part, the
+pieces outside them are scored, up to the closing quote of a quoted value.  The
+cost of a segmentation of ``k`` segments is ``log10(k!) + sum(log10(guesses of a
+segment))``.  The dynamic program runs once over the whole value, whatever its
+length, and follows cuts below ``CEILING`` only: it holds the costs of one
+position, and those of the segments that end further on.
 
 Defined cases: null and empty texts have no span; a span is reported once per
 kind; added spans never overlap a fixed one; repeated rows are scanned alike;
@@ -54,11 +55,10 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 CONTEXT = re.compile(
     r"(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[ _-]?key|access[ _-]?key|"
     r"private[ _-]?key|credentials?|auth|bearer|login|pin)[\"']?"
-    r"(?:\x20*(?:[:=]|=>|->)\x20*|\x20+(?:is|was)\x20+)[\"']?([\x21-\x7E]{6,})", re.IGNORECASE | re.ASCII)
+    r"(?:\x20*(?:[:=]|=>|->)\x20*|\x20+(?:is|was)\x20+)[\"']?([^\x00-\x20\x7F]{6,})", re.IGNORECASE | re.ASCII)
 CLOSING = "\"'`,.;:)]}>"
 MIN_GUESS_LOG10 = 8.0       # 100 million guesses
-VALUE_CHARS = 64
-MAX_SEGMENTS = 8
+CEILING = 24.0              # costs from here on are not told apart
 LONGEST_WORD = 16
 
 # fixed values: common words in order of use; a word's rank is its guess count
@@ -81,6 +81,8 @@ class Ranks(dict):
 RANK = Ranks({w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))})
 WORD_CHARS = (3, 16)
 WORD_CLASSES, CLASS_WORDS = 64, 512
+MIN_TEXTS = 3
+WORD = "(?<![^\\s\"'(\\[])([a-z\u00DF-\u00F6\u00F8-\u00FF]{%d,%d})(?![^\\s.,;:!?\"')\\]])" % WORD_CHARS
 SWAPS = str.maketrans("430157@$!", "aeoistasi")     # 4a 3e 0o 1i 5s 7t @a $s !i
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {key: (r, c) for r, row in enumerate(ROWS) for c, key in enumerate(row)}
@@ -106,94 +108,96 @@ def _is_date(s: str) -> bool:
 
 def _charset(s: str) -> int:
     size = 0
-    if any(c.islower() for c in s):
+    if any("a" <= c <= "z" for c in s):
         size += 26
-    if any(c.isupper() for c in s):
+    if any("A" <= c <= "Z" for c in s):
         size += 26
-    if any(c.isdigit() for c in s):
+    if any("0" <= c <= "9" for c in s):
         size += 10
-    if any(not c.isalnum() for c in s):
+    if any(c < "\x80" and not c.isalnum() for c in s):
         size += 33
+    if not s.isascii():
+        size += 128
     return max(size, 2)
 
 
-def _segment_costs(value: str, ranks: Ranks) -> list[list[tuple[int, float]]]:
-    """For each end, ``(start, log10 guesses)`` of every segment other than brute force."""
+def segments_from(value: str, low: str, swapped: str, i: int, ranks: Ranks):
+    """``(end, log10 guesses)`` of every segment at ``i`` other than brute force."""
     n = len(value)
-    low = value.lower()
-    swapped = low.translate(SWAPS)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = ranks.get(low[i:j])
-            extra = 0.0
-            if rank is None:
-                rank = ranks.get(swapped[i:j])
-                extra = math.log10(4)
-            if rank is not None:
-                if value[i:j] != low[i:j] and not value[i:j].isdigit():
-                    extra += math.log10(2 if value[i:j].istitle() or value[i:j].isupper() else 8)
-                ends[j].append((i, math.log10(rank + 1) + extra))
-        for width in (4, 6, 8, 10):
-            if i + width <= n and DATE.fullmatch(value, i, i + width) and _is_date(value[i:i + width]):
-                years = 120.0
-                ends[i + width].append((i, math.log10(years if width == 4 else years * YEAR * (4 if width == 10 else 1))))
-        # repeats of a unit of one to four characters
-        for unit in range(1, 5):
-            j = i + unit
-            while j + unit <= n and value[j:j + unit] == value[i:i + unit]:
-                j += unit
-            if j - i >= 2 * unit and j - i >= 3:
-                ends[j].append((i, unit * math.log10(_charset(value[i:i + unit])) + math.log10((j - i) / unit)))
-        # keyboard walks and alphabet or digit sequences
-        j, turns, way = i + 1, 0, None
-        while j < n and low[j] in PLACE and low[j - 1] in PLACE:
-            (r0, c0), (r1, c1) = PLACE[low[j - 1]], PLACE[low[j]]
-            if (r1 - r0, c1 - c0) == (0, 0) or abs(r1 - r0) > 1 or abs(c1 - c0) > 1:
-                break
-            if (r1 - r0, c1 - c0) != way:
-                turns, way = turns + 1, (r1 - r0, c1 - c0)
+    for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        rank = ranks.get(low[i:j])
+        extra = 0.0
+        if rank is None:
+            rank = ranks.get(swapped[i:j])
+            extra = math.log10(4)
+        if rank is not None:
+            if value[i:j] != low[i:j] and not value[i:j].isdigit():
+                extra += math.log10(2 if value[i:j].istitle() or value[i:j].isupper() else 8)
+            yield j, math.log10(rank + 1) + extra
+    for width in (4, 6, 8, 10):
+        if i + width <= n and DATE.fullmatch(value, i, i + width) and _is_date(value[i:i + width]):
+            years = 120.0
+            yield i + width, math.log10(years if width == 4 else years * YEAR * (4 if width == 10 else 1))
+    # repeats of a unit, as far as they go
+    for unit in range(1, LONGEST_WORD + 1):
+        block = value[i:i + unit]
+        j = i + unit
+        while value.startswith(block, j) and j + unit <= n:
+            j += unit
+        if j - i >= 2 * unit and j - i >= 3:
+            yield j, guess_cost(block, ranks) + math.log10((j - i) / unit)
+    # keyboard walks and alphabet or digit sequences
+    j, turns, way = i + 1, 0, None
+    while j < n and low[j] in PLACE and low[j - 1] in PLACE:
+        (r0, c0), (r1, c1) = PLACE[low[j - 1]], PLACE[low[j]]
+        if (r1 - r0, c1 - c0) == (0, 0) or abs(r1 - r0) > 1 or abs(c1 - c0) > 1:
+            break
+        if (r1 - r0, c1 - c0) != way:
+            turns, way = turns + 1, (r1 - r0, c1 - c0)
+        j += 1
+        if j - i >= 4:
+            yield j, math.log10(47 * (j - i)) + 0.6 * turns
+    for step in (1, -1):
+        j = i + 1
+        while j < n and value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == step:
             j += 1
-            if j - i >= 4:
-                ends[j].append((i, math.log10(47 * (j - i)) + 0.6 * turns))
-        for step in (1, -1):
-            j = i + 1
-            while j < n and value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == step:
-                j += 1
-                if j - i >= 3:
-                    ends[j].append((i, math.log10(26 * (j - i))))
-    return ends
-
-
-def _block_cost(value: str, ranks: Ranks) -> float:
-    n = len(value)
-    ends = _segment_costs(value, ranks)
-    per_char = math.log10(_charset(value))
-    inf = math.inf
-    # best[k][i]: cheapest cut of the first i characters into k segments; a brute
-    # force segment may have any length, so its start is carried along in force
-    best = [[inf] * (n + 1) for _ in range(MAX_SEGMENTS + 1)]
-    best[0][0] = 0.0
-    answer = n * per_char
-    for k in range(1, MAX_SEGMENTS + 1):
-        before, now = best[k - 1], best[k]
-        force = inf
-        for i in range(1, n + 1):
-            force = min(force, before[i - 1]) + per_char
-            cost = force
-            for start, guesses in ends[i]:
-                if before[start] + guesses < cost:
-                    cost = before[start] + guesses
-            now[i] = cost
-        if now[n] < inf:
-            answer = min(answer, now[n] + math.log10(math.factorial(k)))
-    return answer
+            if j - i >= 3:
+                yield j, math.log10(26 * (j - i))
+
+
+# no cut into more segments costs less than CEILING: k of them cost log10(k!) at least
+SEGMENTS = next(k for k in range(1, 99) if math.log10(math.factorial(k)) >= CEILING)
 
 
 @lru_cache(maxsize=1 << 14)
 def guess_cost(value: str, ranks: Ranks = RANK) -> float:
-    """log10 of the guesses the cheapest segmentation needs."""
-    return sum(_block_cost(value[i:i + VALUE_CHARS], ranks) for i in range(0, len(value), VALUE_CHARS))
+    """log10 of the guesses the cheapest segmentation needs, ``CEILING`` if it
+    is that or more."""
+    low = value.lower()
+    if len(low) != len(value):      # a letter whose lower case is longer
+        low = value
+    swapped = low.translate(SWAPS)
+    per_char = math.log10(_charset(value))
+    inf = math.inf
+    # by number of segments: the cheapest cut of what is behind the position,
+    # and of what is behind the start of a brute-force segment that goes on
+    best, force = [0.0] + [inf] * SEGMENTS, [inf] * (SEGMENTS + 1)
+    ahead: dict[int, list[float]] = {}
+    for i in range(len(value)):
+        if min(best) < CEILING:
+            for end, guesses in segments_from(value, low, swapped, i, ranks):
+                at = ahead.setdefault(end, [inf] * (SEGMENTS + 1))
+                for k in range(SEGMENTS):
+                    if best[k] + guesses < at[k + 1]:
+                        at[k + 1] = best[k] + guesses
+            for k in range(SEGMENTS):
+                force[k + 1] = min(force[k + 1], best[k])
+        force = [c if (c := f + per_char) < CEILING else inf for f in force]
+        best = ahead.pop(i + 1, None)
+        best = list(force) if best is None else list(map(min, best, force))
+        if not ahead and min(best) >= CEILING:
+            return CEILING
+    return min(CEILING, min(c + math.log10(math.factorial(k)) for k, c in enumerate(best)))
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, str]]:
@@ -210,11 +214,14 @@ def word_ranks(docs: DataFrame, text_col: str = "text") -> Ranks:
 
     Collected to the driver: at most ``WORD_CLASSES * CLASS_WORDS`` words.
     """
-    prose = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "(?i)" + CONTEXT.pattern, " "))
-    low, high = WORD_CHARS
-    found = F.filter(F.split(prose, "[^a-z]+"), lambda w: F.char_length(w).between(low, high))
-    counts = (docs.select(F.explode(F.array_distinct(found)).alias("w"))
-              .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prose = F.lower(F.regexp_replace(text, "(?i)" + CONTEXT.pattern, " "))
+    found = F.array_distinct(F.regexp_extract_all(prose, F.lit(WORD), F.lit(1)))
+    # one of 64 bits per text: copies of a text count once, and 64 is plenty to tell few from many
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(text), F.lit(64)).cast("int"))
+    counts = (docs.select(F.explode(found).alias("w"), bit.alias("bit"))
+              .groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("texts"))
+              .where(F.bit_count("texts") >= MIN_TEXTS))
     # the most frequent of each hash class: no task gets all the words
     by_class = Window.partitionBy(F.pmod(F.xxhash64("w"), F.lit(WORD_CLASSES))).orderBy(F.desc("n"), "w")
     top = counts.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= CLASS_WORDS).select("w", "n").collect()
