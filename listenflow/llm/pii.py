@@ -101,7 +101,7 @@ def spans_of(text: Column, pattern: str) -> Column:
                             start = (F.get(o, block) + _total(F.slice(d, block * BLOCK + 1, i - block * BLOCK))
                                      + F.char_length(F.get(p, i)))
                             return F.struct(start.alias("s"), (start + F.char_length(v)).alias("e"), v.alias("v"),
-                                            F.substring(F.get(p, i), -CONTEXT_CHARS, CONTEXT_CHARS).alias("left"))
+                                            _left(F.get(p, i)).alias("left"))
                         return F.transform(found, one)
                     return _let(before, final)
                 return _let(blocks, with_blocks)
@@ -111,6 +111,13 @@ def spans_of(text: Column, pattern: str) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
+def _left(piece: Column) -> Column:
+    """The end of ``piece`` that holds its last two words; all of it when they
+    are longer than ``CONTEXT_CHARS``."""
+    end = F.substring(piece, -CONTEXT_CHARS, CONTEXT_CHARS)
+    return F.when(end.rlike("\\s\\S+\\s+\\S+\\s*$"), end).otherwise(piece)
+
+
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -188,3 +189,125 @@ def test_secrets_of_one_kind_of_character(spark):
     masked = rows_by_id(secret_scan.mask_secrets(documents(spark, more)))
     assert masked[len(texts()) + 5].text == "passphrase: [SECRET]"
     assert masked[len(texts()) + 11].text == "[SECRET][SECRET]"
+
+
+def test_exact_dedup_hashes_survivors_only(spark):
+    """In the plan the digest stands above the join that keeps repeated keys."""
+    groups = exact_dedup.duplicate_groups(documents(spark))
+    lines = groups._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sha = next(i for i, line in enumerate(lines) if "sha2(" in line)
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    assert sha < semi and not any("sha2(" in line for line in lines[semi:])
+    assert "_len" not in [c for c in groups.columns if c == "_prefix"]
+
+
+def test_exact_dedup_of_awkward_rows(spark):
+    """Null ids, an id with two texts, rows repeated with id and text, one length for all."""
+    rows = [(None, "aa"), (1, "aa"), (1, "ab"), (1, "ab"), (2, "ab"), (3, "ac"), (3, "ac"), (None, "ad"), (None, "ad"),
+            (4, None), (5, ""), (0, "ae"), (None, "ae")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in exact_dedup.drop_exact_duplicates(d).collect())
+    assert got == [(False, 0, "ae"), (False, 1, "aa"), (False, 2, "ab"), (False, 3, "ac"), (False, 5, ""), (True, 0, "ad")]
+    found = exact_dedup.exact_dedup(d).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        same = [(i, t) for i, t in rows if hashlib.sha256((t or "").encode()).hexdigest() == r.text_sha256]
+        assert r.group_size == len(same) and r.keep_id == max((i for i, _ in same if i is not None), default=None)
+    # one hot length, many texts
+    many = spark.range(3000).selectExpr("id AS doc_id", "lpad(cast(id % 1000 AS string), 6, '0') AS text")
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(many).collect()) == list(range(2000, 3000))
+
+
+def lambda_bodies(plan):
+    """What stands inside the brackets of each lambda function of a plan."""
+    for start in re.finditer(r"lambdafunction\(", plan):
+        depth = 1
+        for i in range(start.end(), len(plan)):
+            depth += (plan[i] == "(") - (plan[i] == ")")
+            if not depth:
+                yield plan[start.end():i]
+                break
+
+
+def test_quality_filters_stay_above_the_statistics(spark):
+    """No filter on a result is moved to where it would split texts inside a lambda."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    refs = quality_rules.language_references(quality_rules.reference_table(d))
+    judged = quality_rules.quality_rules(d, references=refs)
+    for condition in ("kept", "not base_failed", "char_distance > 0.2", "word_distance > 0.2", "n_repeat_words > 3"):
+        lines = judged.where(condition)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        generate = next(i for i, line in enumerate(lines) if "Generate inline" in line)
+        below = " ".join(lines[generate + 1:])
+        assert "Filter" not in below
+        for body in lambda_bodies(" ".join(lines)):
+            assert "split(" not in body, condition
+
+
+def test_quality_null_language_is_judged(spark):
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(40)]
+    clean = [" ".join(rnd.choice(vocabulary) for _ in range(200)) for _ in range(60)]
+    junk = " ".join("".join(rnd.choice("#%$&9{}") for _ in range(rnd.randint(3, 12))) for _ in range(120))
+    rows = [(i, t, "en") for i, t in enumerate(clean)] + [(60, junk, None), (61, clean[0], None)]
+    got = rows_by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert not got[60].kept and got[61].kept
+
+
+def plain_cost(value, ranks):
+    """Guess cost by trying every segmentation."""
+    swapped, low = value.lower().translate(secret_scan.SWAPS), value.lower()
+    per_char = math.log10(secret_scan._charset(value))
+    ends = [list(secret_scan.segments_from(value, low, swapped, i, ranks)) for i in range(len(value))]
+
+    def cuts(i):
+        if i == len(value):
+            yield 0, 0.0
+            return
+        for j, cost in [*ends[i], *[(j, per_char * (j - i)) for j in range(i + 1, len(value) + 1)]]:
+            for k, rest in cuts(j):
+                yield k + 1, cost + rest
+    return min(cost + math.log10(math.factorial(k)) for k, cost in cuts(0))
+
+
+def test_guess_cost_matches_plain_search():
+    rnd = random.Random(8)
+    ranks = secret_scan.RANK
+    pieces = ["pass", "word", "love", "2001", "aaa", "qwer", "x9", "#", "é", "12", "Zz", "0day", "abab"]
+    values = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 4)))[:12] for _ in range(60)]
+    values += ["".join(rnd.choice("ab1A!é") for _ in range(rnd.randint(1, 9))) for _ in range(40)]
+    for v in values:
+        assert abs(secret_scan.guess_cost(v, ranks) - min(secret_scan.CEILING, plain_cost(v, ranks))) < 1e-9, v
+
+
+def test_guess_cost_of_any_length():
+    """The verdict does not flip with the length, and long values take little time."""
+    cost = secret_scan.guess_cost
+    for unit in ("a", "-", "password", "love", "=-"):
+        costs = [cost(unit * n) for n in (8, 64, 400, 4000)]
+        assert all(c < secret_scan.MIN_GUESS_LOG10 for c in costs), (unit, costs)
+    rnd = random.Random(1)
+    blob = "".join(rnd.choice("ABCDEFabcdef0123456789+/") for _ in range(2_000_000))
+    assert cost(blob) == secret_scan.CEILING
+    text = "token is " + blob + " end"
+    assert secret_scan.guessed_spans(text, []) == [(9, 9 + len(blob), "guess")]
+
+
+def test_dictionary_needs_support(spark):
+    """A password mentioned once in prose, in copies of it, or as part of a longer
+    string, is still one; a value with other letters is scored whole."""
+    secret = "xqzvkwjfhtpl"
+    rows = [f"my dog is called {secret} you know"] * 5 + [f"id 9{secret}-{i} 7#{secret}" for i in range(9)]
+    rows += [f"ordinary überraschung number {i}" for i in range(6)]
+    rows += [f"password: {secret}", "pwd: überraschung", "pwd: ordinary", "passcode is kéßq9ñzx!w"]
+    got = rows_by_id(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    spans = [got[len(rows) - 4 + i].spans for i in range(4)]
+    assert spans == ["assign:0:22", "", "", "guess:12:22"]
+    assert secret not in secret_scan.word_ranks(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+
+
+def test_pii_context_of_long_words(spark):
+    """Two words to the left, however long they are."""
+    url = "https://example.org/" + "a" * 80
+    piece = spark.createDataFrame([(f"see {url} mail: ",), (f"{url}/x {url}/y ",), ("x a b ",)], "p string")
+    got = [r[0] for r in piece.select(pii._pattern(pii._left(piece.p))).collect()]
+    assert got == [f"{url} mail:", f"{url}/x {url}/y", "a b"]
