@@ -102,7 +102,7 @@ def materialize_to_path(df) -> str:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir``; return the folder."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/listenflow/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return path
 
 
