@@ -25,15 +25,15 @@ or more; sets are indexed for their own range of sizes and the next one, so
 that both sides of a link deal alike.
 
 *Groups without all pairs.*  Copies of one text may form groups of any size.
-Every entry is compared with the centre of its group (the node with the fewest
-prefix tokens of its own, such as the original of edited copies); what links
-with the centre is connected.  For the others, a set is its difference ``D`` to
+Every entry is compared with the centre of its group (the node whose index
+groups are the largest together, such as the original of edited copies); what
+links with the centre is connected.  For the others, a set is its difference ``D`` to
 the centre: ``|x ^ y| = |D(x) ^ D(y)|``.  If ``x`` does not link with the centre and
 does with ``y``, then ``x`` holds more than ``(1 - b) / 2`` of ``D(y)``, where
 ``b = (100 - similarity) / (100 + similarity)``.  So any ``|D(y)| - t + 1``
 tokens of ``D(y)`` hold one of ``x``'s, ``t`` the number it must share: ``y`` is
-indexed by that many (tokens the centre lacks first, as they are rare, then
-some of the others in an order of its own), and ``x`` looks all of its own up.
+indexed by its rarest ones around this centre (those it alone holds need no
+entry), and ``x`` looks all of its own up.
 Pairs inside one component add nothing and are not made; sizes and distances to
 the centre rule pairs out before they are made; the differences decide.
 
@@ -50,7 +50,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listenflow.llm.common import map_texts, narrow, prepare, table, utf8
@@ -213,17 +213,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-STAR = "pivot long, node long, n long, apart long, linked boolean, diff binary, chosen binary"
-
-
-def indexed_part(x: np.ndarray, diff: np.ndarray, node: int, similarity: int) -> np.ndarray:
-    """Tokens of ``diff`` that ``node`` is indexed by: enough that whoever links
-    with it, but not with the centre, holds one; tokens of the set first."""
-    shared = len(diff) * similarity // (100 + similarity) + 1     # more than (1 - b) / 2 of them
-    own = np.isin(diff, x, assume_unique=True)
-    # the others in an order of this node's own, so that they spread over the index
-    order = np.lexsort([mix(diff ^ np.uint64(node & 0xFFFFFFFFFFFF), 11), ~own])
-    return diff[order[:max(len(diff) - shared + 1, 0)]]
+STAR = "pivot long, node long, n long, apart long, linked boolean, diff binary"
 
 
 def _stars(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -238,25 +228,23 @@ def _stars(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 p, x = np.frombuffer(p, "<u8"), np.frombuffer(x, "<u8")
                 diff = np.setxor1d(p, x, assume_unique=True)
                 out.append((pivot, node, len(x), len(diff), _linked(len(diff), len(p) + len(x), similarity),
-                            diff.astype("<u8").tobytes(), indexed_part(x, diff, node, similarity).astype("<u8").tobytes()))
-            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)],
-                                  names=["pivot", "node", "n", "apart", "linked", "diff", "chosen"])
+                            diff.astype("<u8").tobytes()))
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)],
+                                  names=["pivot", "node", "n", "apart", "linked", "diff"])
     return materialize(both.mapInArrow(run, STAR))
 
 
-def _diff_tokens(rows: DataFrame, tokens: str) -> DataFrame:
-    """One row per token of the binary column ``tokens``."""
-    names = ["pivot", "node", "n", "apart", "comp"]
-
+def _diff_tokens(rows: DataFrame) -> DataFrame:
+    """``pivot, node, token``: one row per token of the differences."""
     def run(batches):
         for b in batches:
-            parts = [np.frombuffer(x, "<i8") for x in b.column(len(names)).to_pylist()]
+            parts = [np.frombuffer(x, "<i8") for x in b.column(2).to_pylist()]
             if parts:
                 at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
-                yield pa.record_batch([*[b.column(i).take(at) for i in range(len(names))], pa.array(np.concatenate(parts))],
-                                      names=[*names, "token"])
-    return rows.select(*names, tokens).mapInArrow(run, "pivot long, node long, n long, apart long, comp long, token long")
+                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(parts))],
+                                      names=["pivot", "node", "token"])
+    return rows.select("pivot", "node", "diff").mapInArrow(run, "pivot long, node long, token long")
 
 
 def _around_centres(stars: DataFrame, comps: DataFrame, similarity: int) -> DataFrame:
@@ -266,8 +254,16 @@ def _around_centres(stars: DataFrame, comps: DataFrame, similarity: int) -> Data
     rows = (stars.join(some, "pivot", "left_semi").join(comps.select("node", "comp"), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
     rows = materialize(rows)
-    x = _diff_tokens(rows.where("not linked"), "diff").alias("x")
-    y = _diff_tokens(rows, "chosen").alias("y")
+    each = _diff_tokens(rows)
+    held = each.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = materialize(each.join(held, ["pivot", "token"])
+                       .join(rows.select("pivot", "node", "n", "apart", "linked", "comp"), ["pivot", "node"]))
+    shared = F.floor(F.col("apart") * similarity / (100 + similarity)) + 1      # more than (1 - b) / 2 of them
+    of = Window.partitionBy("pivot", "node")        # at most the tokens of one difference
+    known = F.count(F.lit(1)).over(of)              # the others, apart - known, are held by this node alone
+    x = each.where("not linked").alias("x")
+    y = (each.withColumn("place", F.row_number().over(of.orderBy("df", "token"))).withColumn("known", known)
+         .where(F.col("place") <= F.col("apart") - shared + 1 - (F.col("apart") - F.col("known"))).alias("y"))
     able = (F.col("x.comp") != F.col("y.comp")) & (
         F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + similarity) <= (F.col("x.n") + F.col("y.n")) * (100 - similarity))
     met = (x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token"))).where(able)
@@ -303,14 +299,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = materialize(entries.join(tokens, "token"))
     discard(full, tokens)
-    f_count = shared.groupBy("node").agg(F.count(F.lit(1)).alias("met"),
-                                         F.count(F.when(F.col("df") > rare, 1)).alias("f"))
+    f_count = shared.groupBy("node").agg(F.count(F.when(F.col("df") > rare, 1)).alias("f"))
     need = _need(F.col("n"), similarity)
     info = materialize(groups.join(f_count, "node", "left").select(
         "node", "n", F.coalesce("f", F.lit(0)).cast("long").alias("f"),
-        _shared(F.col("n"), similarity).alias("k"), _shared(need, similarity).alias("k_low"),
-        # prefix tokens that no other node has
-        (F.col("n") - need + _shared(F.col("n"), similarity) - F.coalesce("met", F.lit(0))).alias("own")))
+        _shared(F.col("n"), similarity).alias("k"), _shared(need, similarity).alias("k_low")))
 
     # 1: nodes that share rare tokens, at most RARE of them a token
     one = shared.where(F.col("df") <= rare).select("token", "node")
@@ -328,12 +321,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = info.where("f >= k_low").select("node")
     sets = _sets(many.union(pairs.select("a")).union(pairs.select("b")), groups, docs, shingle)
     members = materialize(_combinations(sets.join(many, "node", "left_semi"), similarity))
-    central = F.min(F.struct("own", "node"))["node"]
-    pivots = (members.join(info.select("node", "own"), "node").groupBy("bucket")
-              .agg(F.count(F.lit(1)).alias("c"), central.alias("pivot")).where("c > 1").select("bucket", "pivot"))
-    star = members.join(pivots, "bucket").where("node <> pivot").select("pivot", "node").distinct()
+    crowded = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket")
+    crowded = materialize(crowded)
+    weight = crowded.groupBy("node").agg(F.sum("c").alias("w"))
+    central = F.max(F.struct("w", (-F.col("node")).alias("node")))["node"]
+    pivots = crowded.join(weight, "node").groupBy("bucket").agg((-central).alias("pivot"))
+    star = crowded.join(pivots, "bucket").where("node <> pivot").select("pivot", "node").distinct()
     stars = _stars(star, sets, similarity)
-    discard(members)
+    discard(members, crowded)
 
     links = materialize(_verify(pairs, sets, similarity).union(stars.where("linked").select("pivot", "node")))
     discard(pairs, sets)
