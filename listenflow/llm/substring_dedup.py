@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from listenflow.llm.common import map_texts, narrow, prepare, table, utf8
 from listenflow.llm.fm_index import FMIndex, range_minimum
 from listenflow.llm.words import WordHashes, mix, window_hashes
-from listenflow.session import materialize
+from listenflow.session import discard, materialize
 
 WINDOW = 13
 ANCHOR = 6
@@ -230,17 +230,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``,
     the kept words of documents that lose some, if ``keep_text``)."""
     docs = narrow(docs, id_col, text_col)
-    rows = materialize(document_anchors(docs, window, anchor))
-    usable = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    made = materialize(document_anchors(docs, window, anchor))
+    rows = materialize(made.select("doc_id", "n_words", "words_sha"))
+    usable = made.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     # copies of a whole text: the smallest id stands for all
     copies = materialize(usable.groupBy("words_sha").agg(F.min("doc_id").alias("rep")))
     sources = usable.join(copies.withColumnRenamed("rep", "doc_id"), ["words_sha", "doc_id"], "left_semi")
-    entries = materialize(_explode(sources))
-    shared = entries.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    wanted = (entries.join(shared.select("anchor"), "anchor").groupBy(F.col("doc_id"))
+    # a row holds an anchor once, so one that occurs twice is in two rows
+    entries = _explode(sources)
+    shared = materialize(entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    wanted = (entries.join(shared, "anchor").groupBy(F.col("doc_id"))
               .agg(F.collect_list("anchor").alias("wanted")))     # at most the anchors of one document
     candidates = materialize(docs.join(wanted, docs["_id"] == wanted["doc_id"])
                              .select("doc_id", F.monotonically_increasing_id().alias("row"), "_text", "wanted"))
+    discard(made, shared)
     segs = materialize(segments(candidates, window, anchor))
 
     def folded(s: DataFrame) -> DataFrame:
@@ -251,14 +254,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     over = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy)
                        .select("anchor"))
     if over.limit(1).count():
+        whole = (segs, distinct)
         segs = materialize(_cut_heavy(segs, over, window))
+        discard(*whole)
         distinct = materialize(folded(segs))
+    places = materialize(segs.select("k1", "k2", "doc_id", "row", "start"))
+    discard(segs)
     total = distinct.agg(F.coalesce(F.sum(F.length("seg")), F.lit(0)).alias("t")).collect()[0].t // 8
     shards = max(1, -(-int(total) // shard_words))
-    minima = (distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    minima = materialize(distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
               .groupBy("shard").applyInArrow(_search_shard(window), "k1 long, k2 long, minima binary"))
+    discard(distinct)
     # only segments that hold a smaller id somewhere are sent back
-    runs = (_covered(segs.select("k1", "k2", "doc_id", "row", "start").join(minima, ["k1", "k2"]), window)
+    runs = (_covered(places.join(minima, ["k1", "k2"]), window)
             .groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("runs")))
     texts = candidates.select("doc_id", "row", "_text").join(runs, "row")
     changed = _remove(texts, keep_text).dropDuplicates(["doc_id", "words_sha"])
