@@ -11,11 +11,17 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows per Arrow batch sent to a Python worker: texts are long, so batches are small.
+from listenflow.session import discard, materialize
+
+# Bounds of an Arrow batch sent to a Python worker, whichever is met first; a
+# text beyond the bytes is a batch of its own.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
+
+SAMPLE_BYTES = 64 << 20     # bound of a labelled sample, besides its rows
 
 SPACE = rb" \t\n\x0b\x0c\r"  # fixed: the white space that ends a word, [\x20\x09-\x0D]
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -34,6 +40,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # shuffle files go when the job that made them has ended; every frame read
     # twice is written to the shared folder instead
@@ -75,13 +82,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, max_rows: int,
-                    docs: DataFrame | None = None) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled training texts, never from the held-out fold.
+                    docs: DataFrame | None = None, max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most ``max_rows`` labelled training texts of at most ``max_bytes``
+    together, never from the held-out fold.
 
     The rows are the ones with the smallest hash of their id, so the sample
-    does not depend on partitioning.  Ids are chosen from ``labels`` alone;
-    the texts are then fetched with a broadcast of at most ``max_rows`` ids,
-    so the texts are scanned once and never shuffled.
+    does not depend on partitioning; an id gives one text, the least of its
+    rows, and a text that no longer fits ends the sample.  Ids are chosen from
+    ``labels`` alone; the texts are then fetched with a broadcast of at most
+    ``max_rows`` ids, so all texts are scanned once, and those of the chosen
+    ids are reduced to one an id before they are shuffled.
     """
     docs = table(spark, sf_dir, "documents") if docs is None else docs
     lab = (table(spark, sf_dir, "labels")
@@ -89,9 +99,15 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, max_rows: int,
            .where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
            .groupBy("_id").agg(F.max("_y").alias("_y")))
     picked = lab.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = (narrow(docs).join(F.broadcast(picked), "_id")
-            .select(F.xxhash64("_id").alias("h"), "_id", "_text", "_y").collect())
-    rows.sort(key=lambda r: (r.h, r._id, r._text))
+    found = materialize(narrow(docs).join(F.broadcast(picked), "_id")
+                        .groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
+                        .select(F.xxhash64("_id").alias("h"), "_id", "_text", "_y", F.octet_length("_text").alias("size")))
+    # at most max_rows narrow rows in the window
+    fits = (found.select("_id", F.sum("size").over(Window.orderBy("h", "_id")).alias("upto"))
+            .where(F.col("upto") <= max_bytes).select("_id"))
+    rows = found.join(F.broadcast(fits), "_id").select("h", "_id", "_text", "_y").collect()
+    discard(found)
+    rows.sort(key=lambda r: (r.h, r._id))
     return [(r._text, int(r._y)) for r in rows]
 
 

@@ -112,7 +112,7 @@ def fit_toxicity(rows: list[tuple[str, int]]) -> ToxicityModel:
     row_of = np.repeat(np.arange(len(feats)), lens)
     x = ratio[flat].astype(np.float32)
     # logistic regression on the scaled features, classes weighted alike,
-    # by gradient descent with momentum on rows scaled to unit length
+    # by gradient descent with momentum; one factor brings the median row to unit length
     norm = np.sqrt(np.maximum(np.bincount(row_of, x.astype(np.float64) ** 2, len(feats)), 1e-12))
     scale = 1.0 / np.median(norm)
     x *= np.float32(scale)
