@@ -29,6 +29,7 @@ an id are packed like any other rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -44,7 +45,7 @@ CAPACITY = 4096
 WIDTH = 4
 END_ID = 2              # fixed value: the id that ends a document
 GAP = 0.0005            # relative distance to the dual bound at which pricing stops
-MAX_WORDS = 1 << 18     # words remembered per worker, and as many of the generation before
+MAX_WORDS = 1 << 19     # words remembered per worker, and as many of the generation before
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -58,6 +59,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -81,18 +83,29 @@ class WordTokenizer:
 
     def _learn(self, new: list[bytes]) -> None:
         """Tokenize words.  A word of letters and the punctuation behind it are
-        separate pre-tokens, so both are looked up on their own."""
+        separate pre-tokens, so both are looked up on their own; the tokenizer
+        lower-cases, so A-Z are a-z."""
         known, plain, other, tails = self.known, set(), [], []
+        bpe = self.model.tokenize
+
+        def pack(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
         for w in new:
             core = w.rstrip(b".,;:!?")
             if core.isalpha() or core.decode("utf-8").isalpha():
-                if core != w:
-                    tails.append((w, core, w[len(core):]))
-                if core == w or not known.get(core):
-                    plain.add(core)
+                low = core.lower()      # bytes: A-Z only
+                if low != w:
+                    tails.append((w, low, w[len(core):]))
+                if low != w and known.get(low):
+                    continue
+                if low.isascii():       # normalised and one pre-token as it is
+                    known[low] = pack([t.id for t in bpe(low.decode("ascii"))])
+                else:
+                    plain.add(low)
             else:
                 other.append(w)
-        points = {t for _, _, t in tails}
+        known[b""] = b""
+        points = {t for _, _, t in tails if t}
         other += [t for t in points if not known.get(t)]
         plain = list(plain)
         for at in range(0, len(plain), 4096):
