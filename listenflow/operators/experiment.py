@@ -44,14 +44,18 @@ def experiment_readout(df: DataFrame, arm: str = "arm", outcome: str = "activate
                        guardrails: Sequence[str] = ("sessions", "avg_session_sec"),
                        by: Sequence[str] = ()) -> DataFrame:
     """n, rate per arm; lift (pp), 95 % CI (unpooled), pooled z, two-sided p;
-    guardrail means per arm.  Arm 0 = control, 1 = treatment."""
+    guardrail means per arm, their difference with interval and p.  Arm 0 =
+    control, 1 = treatment."""
     by = list(by)
     aggs = []
     for a, name in ((0, "control"), (1, "treatment")):
         in_arm = F.col(arm) == a
         aggs += [F.count(F.when(in_arm, 1)).cast("long").alias(f"{name}_n"),
                  F.sum(F.when(in_arm, F.col(outcome)).otherwise(0)).cast("long").alias(f"{name}_x")]
-        aggs += [F.avg(F.when(in_arm, F.col(g))).alias(f"{name}_{g}") for g in guardrails]
+        # mean, sample variance and count merge from partial aggregates
+        aggs += [x for g in guardrails for value in [F.when(in_arm, F.col(g))] for x in (
+            F.avg(value).alias(f"{name}_{g}"), F.var_samp(value).alias(f"_{name}_{g}_var"),
+            F.count(value).cast("double").alias(f"_{name}_{g}_n"))]
     g = df.groupBy(*by).agg(*aggs)
     n0, x0, n1, x1 = (F.col(c).cast("double") for c in ("control_n", "control_x", "treatment_n", "treatment_x"))
     p0, p1 = x0 / n0, x1 / n1
@@ -71,10 +75,21 @@ def experiment_readout(df: DataFrame, arm: str = "arm", outcome: str = "activate
         round_half_away(F.when(ok, z), 4).alias("z"),
         round_half_away(F.when(ok, two_sided_p(z)), 4).alias("p_value"),
         *[round_half_away(f"{name}_{gr}", 4).alias(f"{name}_{gr}")
-          for name in ("control", "treatment") for gr in guardrails])
+          for name in ("control", "treatment") for gr in guardrails],
+        *[c for gr in guardrails for c in _guardrail(gr)])
     return out
 
 
+def _guardrail(g: str) -> list:
+    """Difference of the arms' means with its 95 % interval and two-sided p,
+    the variances taken apart; null where an arm has fewer than two values."""
+    diff = F.col(f"treatment_{g}") - F.col(f"control_{g}")
+    se = F.sqrt(F.col(f"_treatment_{g}_var") / F.col(f"_treatment_{g}_n") + F.col(f"_control_{g}_var") / F.col(f"_control_{g}_n"))
+    p = F.when(se > 0, two_sided_p(diff / se))
+    return [round_half_away(diff, 4).alias(f"{g}_diff"), round_half_away(diff - F.lit(Z_95) * se, 4).alias(f"{g}_ci_low"),
+            round_half_away(diff + F.lit(Z_95) * se, 4).alias(f"{g}_ci_high"), round_half_away(p, 4).alias(f"{g}_p_value")]
+
+
 def experiment_by_segment(df: DataFrame, segment: str, arm: str = "arm", outcome: str = "activated",
                           guardrails: Sequence[str] = ("sessions", "avg_session_sec")) -> DataFrame:
     return experiment_readout(df, arm, outcome, guardrails, by=[segment])

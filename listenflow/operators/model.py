@@ -22,22 +22,24 @@ def holdout_flag(user_col: str = "user_id", holdout: float = 0.2):
     return b < F.lit(int(round(holdout * HOLDOUT_BUCKETS)))
 
 
-def score_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+def score_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """ROC AUC of ``score`` for binary ``label`` by the rank-sum formula, tied
-    scores sharing their average rank.  One row: n_pos, n_neg, auc."""
-    d = df.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y")) \
+    scores sharing their average rank.  One row (per group of ``by``): n_pos,
+    n_neg, auc."""
+    by = list(by)
+    d = df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y")) \
           .where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
     # one row per distinct score first: ties then share one row, not one task
-    counts = d.groupBy("_s").agg(F.sum("_y").cast("long").alias("pos"), F.count(F.lit(1)).cast("long").alias("cnt"))
-    ranked = running_counts(counts, "_s", ["cnt"])
-    per_score = ranked.select("pos", "cnt", (F.col("cnt_upto") - F.col("cnt") + 1).alias("lo"),
+    counts = d.groupBy(*by, "_s").agg(F.sum("_y").cast("long").alias("pos"), F.count(F.lit(1)).cast("long").alias("cnt"))
+    ranked = running_counts(counts, "_s", ["cnt"], by)
+    per_score = ranked.select(*by, "pos", "cnt", (F.col("cnt_upto") - F.col("cnt") + 1).alias("lo"),
                               F.col("cnt_upto").alias("hi"))
-    tot = per_score.agg(F.sum(F.col("pos") * (F.col("lo") + F.col("hi")) / F.lit(2.0)).alias("rank_sum"),
+    tot = per_score.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("lo") + F.col("hi")) / F.lit(2.0)).alias("rank_sum"),
                         F.sum("pos").cast("long").alias("n_pos"),
                         (F.sum("cnt") - F.sum("pos")).cast("long").alias("n_neg"))
     p, n = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     auc = F.when((p > 0) & (n > 0), (F.col("rank_sum") - p * (p + 1) / 2) / (p * n))
-    return tot.select("n_pos", "n_neg", round_half_away(auc, 6).alias("auc"))
+    return tot.select(*by, "n_pos", "n_neg", round_half_away(auc, 6).alias("auc"))
 
 
 def _model_input(features: DataFrame, cols: Sequence[str], holdout: float) -> DataFrame:

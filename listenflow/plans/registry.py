@@ -19,7 +19,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenflow.operators import (churn, content, experiment, features, funnel, model, retention,
+from listenflow.operators import (churn, content, experiment, features, funnel, logistic, model, retention,
                                   segments, timing, validate)
 from listenflow.session import checkpoint_dir
 from listenflow.sources import feature_weeks
@@ -58,6 +58,20 @@ def _d7(t):
 _FITTED: dict[tuple[str, str], object] = {}
 
 
+def _fit_once(spark, sf_dir: str, what: str, fit):
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}#{what}")
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
+def _logistic_q(make):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = _nb(load_product_tables(spark, sf_dir))
+        return make(frame, _fit_once(spark, sf_dir, "logistic", lambda: logistic.fit_logistic(frame)))
+    return run
+
+
 def _model_q(make):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load_product_tables(spark, sf_dir)
@@ -131,6 +145,10 @@ QUERIES: dict[str, QueryFn] = {
             segments.free_user_tiers_corrected(t).select("user_id", "user_segment"), "user_id", "left")
         .withColumn("user_segment", F.coalesce("user_segment", F.lit("Premium"))),
         "user_segment")),
+    "conversion_probability": _logistic_q(logistic.conversion_probability),
+    "conversion_probability_auc": _logistic_q(
+        lambda frame, m: logistic.probability_auc(logistic.conversion_probability(frame, m))),
+    "permutation_importance": _logistic_q(logistic.permutation_importance),
     "conversion_model": _model_q(lambda s, t, m: model.conversion_model(_nb(t), fitted=m)),
     "conversion_model_auc": _model_q(lambda s, t, m: model.holdout_auc(model.conversion_model(_nb(t), fitted=m))),
     "conversion_model_importance": _model_q(lambda s, t, m: model.feature_importance_frame(m, s)),
