@@ -59,6 +59,17 @@ def window_anchors(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndar
     return runs.argmin(axis=1) + np.arange(len(runs)), g
 
 
+def anchor_hashes(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """Distinct anchors of all windows: minima of the run hashes by doubling."""
+    low = window_hashes(words, anchor)
+    width, have = window - anchor + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return np.unique(low[np.concatenate([[True], low[1:] != low[:-1]])])
+
+
 def _hashes(store: dict) -> WordHashes:
     return store.setdefault("h", WordHashes())
 
@@ -76,8 +87,7 @@ def document_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             if len(words) < window:
                 found.append(b"")
             else:
-                at, g = window_anchors(_hashes(store).of(words), window, anchor)
-                found.append(np.unique(g[np.unique(at)]).astype("<u8").tobytes())
+                found.append(anchor_hashes(_hashes(store).of(words), window, anchor).astype("<u8").tobytes())
         return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sha), pa.array(found, pa.binary())],
                                names=["doc_id", "n_words", "words_sha", "anchors"])
     return map_texts(docs, run, "doc_id long, n_words long, words_sha string, anchors binary")

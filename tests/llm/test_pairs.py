@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -146,6 +147,15 @@ def test_substring_dedup_matches_brute_force(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_anchor_hashes_are_those_of_the_windows():
+    rnd = np.random.default_rng(4)
+    for window, anchor in ((13, 6), (13, 4), (7, 7), (9, 1), (12, 5)):
+        for n in (window, window + 1, 60, 400):
+            words_ = rnd.integers(0, 5 if n == 60 else 10**9, n).astype(np.uint64)
+            at, g = substring_dedup.window_anchors(words_, window, anchor)
+            assert np.array_equal(substring_dedup.anchor_hashes(words_, window, anchor), np.unique(g[at]))
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
