@@ -73,15 +73,20 @@ class FMIndex:
         self.smaller = np.zeros(size + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=size), out=self.smaller[1:])
 
-    def windows(self, text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of the windows ``text[at : at + length]``.
-
-        A range that has shrunk to one suffix is the window's own and is not
-        followed further.
+    def matching_statistics(self, text: np.ndarray, at: np.ndarray, length: int
+                            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the position that ends each window ``text[at : at + length]``, the
+        length (up to ``length``) of the longest match that ends there and also
+        elsewhere in the index, and the suffix range of the window.
+
+        A range that has shrunk to one suffix is the window's own: the match
+        ends there and is not followed further.
         """
         c = text[at + length - 1]
         lo, hi = self.smaller[c], self.smaller[c + 1]
         live = np.flatnonzero(hi - lo > 1)
+        matched = np.zeros(len(at), np.int64)
+        matched[live] = 1
         for k in range(length - 2, -1, -1):
             if not len(live):
                 break
@@ -90,7 +95,8 @@ class FMIndex:
             lo[live] = base + self.wavelet.rank(c, lo[live])
             hi[live] = base + self.wavelet.rank(c, hi[live])
             live = live[hi[live] - lo[live] > 1]
-        return lo, hi
+            matched[live] += 1
+        return matched, lo, hi
 
 
 def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

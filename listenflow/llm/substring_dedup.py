@@ -13,9 +13,10 @@ and never need to see each other.
 
 *Per shard.*  Equal segments are folded into one with the smallest id before
 the shuffle.  A shard builds a compressed FM-index (bounded-depth BWT in a
-wavelet matrix) over its segments and searches all their windows backwards,
-in step; the suffix range of a window that reaches the threshold length gives
-the smallest id that holds it.  The smallest ids go back to all occurrences by
+wavelet matrix) over its segments and streams them against it: backward
+searches, in step, give the matching statistics of every position, as far as the
+threshold; where they reach it, the suffix range gives the smallest id that
+holds the window.  The smallest ids go back to all occurrences by
 an equi-join.
 
 *Hot cases.*  Copies of a whole text are folded first.  A passage in a third of
@@ -176,9 +177,9 @@ def _search_shard(window: int):
         counts = sizes - window + 1
         owner = np.repeat(np.arange(len(raw)), counts)
         at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + begins[owner]
-        lo, hi = index.windows(text, at, window)
+        matched, lo, hi = index.matching_statistics(text, at, window)
         smallest = first[owner]
-        many = np.flatnonzero(hi - lo > 1)
+        many = np.flatnonzero(matched >= window)
         if len(many):
             doc_of = np.repeat(first, sizes + 1)[index.suffixes]
             smallest[many] = range_minimum(doc_of, lo[many], hi[many])

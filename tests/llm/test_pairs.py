@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from listenflow.llm import jaccard_join, substring_dedup
 from listenflow.llm.components import connected_components
+from listenflow.llm.fm_index import FMIndex
 from tests.llm.cases import documents, empty, rows_by_id, texts, words
 
 
@@ -147,6 +148,25 @@ def test_substring_dedup_matches_brute_force(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_matching_statistics_match_brute_force():
+    """Match lengths, ranges and smallest owners on a text over few symbols."""
+    rnd = np.random.default_rng(9)
+    parts = [rnd.integers(1, 4, rnd.integers(6, 30)) for _ in range(20)]
+    text = np.concatenate([np.append(p, 0) for p in parts])
+    index = FMIndex(text, 4, 6)
+    at = np.array([i for i in range(len(text) - 5) if (text[i:i + 6] > 0).all()])
+    matched, lo, hi = index.matching_statistics(text, at, 6)
+    flat = text.tolist()
+    for i, m, a, b in zip(at.tolist(), matched.tolist(), lo.tolist(), hi.tolist()):
+        window = flat[i:i + 6]
+
+        def places(part):
+            return [k for k in range(len(flat) - len(part) + 1) if flat[k:k + len(part)] == part]
+        assert m == max(k for k in range(7) if k == 0 or len(places(window[6 - k:])) > 1)
+        if m == 6:
+            assert sorted(index.suffixes[a:b].tolist()) == places(window)
+
+
 def test_anchor_hashes_are_those_of_the_windows():
     rnd = np.random.default_rng(4)
     for window, anchor in ((13, 6), (13, 4), (7, 7), (9, 1), (12, 5)):
