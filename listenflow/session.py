@@ -123,7 +123,7 @@ def refresh(spark: SparkSession) -> None:
     from listenflow.plans import registry
     from listenflow.sources import product, raw
     app = spark.sparkContext.applicationId
-    for memo in (raw._RESOLVED, product._LOADED, registry._FITTED):
+    for memo in (raw._RESOLVED, product._LOADED, product._OBSERVED, registry._FITTED):
         for key in [k for k in memo if k[0] == app]:
             del memo[key]
     product._OPENED.clear()

@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listenflow.functions.dates import elapsed_micros
@@ -39,6 +39,10 @@ TRACK_SECONDS = 300
 #   error → skip;  purchase → playlist_save;  anything else → share
 # -----------------------------------------------------------------------------
 
+# observed while loading
+DATE_COLUMNS = {"users": ("signup_date",), "sessions": ("session_date",)}
+KEY_COLUMNS = {"users": ("user_id", "signup_date", "plan_type")}
+
 PRODUCT_TABLES = ("users", "sessions", "events", "tracks", "plays")
 
 
@@ -163,15 +167,39 @@ def derive_plays(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 # plan_type = 'free', session_date >= cutoff or event_type = 'upgrade_click'
 # are pushed into the Parquet scans.  Tracks are a plain projection of part
 # and stay lazy.
+#
+# What the load checks ask for (row counts, first and last dates, missing keys)
+# is observed while the copies are written, so checking them costs no scan.
 _LOADED: dict[tuple[str, str, str], str] = {}          # -> folder of the copy
+_OBSERVED: dict[tuple[str, str, str], dict] = {}        # -> metrics of the load
 _OPENED: dict[tuple[int, str], DataFrame] = {}          # (session, folder) -> reader
 
 
+def _metrics(what: str) -> list:
+    out = [F.count(F.lit(1)).alias("rows")]
+    for c in DATE_COLUMNS.get(what, ()):
+        out += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    return out + [F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}") for c in KEY_COLUMNS.get(what, ())]
+
+
+def observed(t: ProductTables, what: str) -> dict | None:
+    """Metrics of a loaded table (``rows``, ``min_``/``max_`` of its dates,
+    ``null_`` counts of its key columns), taken while it was written; None for
+    tables that do not come from a load step."""
+    if t.source is None:
+        return None
+    getattr(t, what)            # loads it, if that has not happened yet
+    spark, sf_dir = t.source
+    return _OBSERVED.get((spark.sparkContext.applicationId, sf_dir.rstrip("/"), what))
+
+
 def _load_once(spark: SparkSession, sf_dir: str, what: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
     if key not in _LOADED:
         try:
-            _LOADED[key] = materialize_to_path(build())
+            seen = Observation(f"load {what}")
+            _LOADED[key] = materialize_to_path(build().observe(seen, *_metrics(what)))
+            _OBSERVED[key] = seen.get
         finally:
             release_held()
     path = _LOADED[key]

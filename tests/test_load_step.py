@@ -1,6 +1,9 @@
 """The load-step copies hold exactly what the lazy derivation computes."""
 
-from listenflow.sources.product import PRODUCT_TABLES, load_product_tables
+from dataclasses import replace
+
+from listenflow.operators import validate
+from listenflow.sources.product import PRODUCT_TABLES, load_product_tables, observed
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +29,18 @@ def test_new_session_and_drop(spark):
     drop_materialized(spark)
     c = sorted(map(tuple, QUERIES["funnel_overall"](spark, SF).collect()), key=str)
     assert a == c
+
+
+def test_load_checks_cost_no_scan(spark):
+    """Counts, date ranges and null counts were observed while the copies were written."""
+    t = load_product_tables(spark, SF)
+    seen = observed(t, "users")
+    assert seen["rows"] == t.users.count() and seen["null_user_id"] == 0
+    for df, scans in ((validate.date_ranges(t), 0), (validate.null_checks(t), 0), (validate.row_counts(t), 1)):
+        # tracks are no copy but a projection of their source
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == scans
+    lazy = replace(t, source=None)          # the same tables, scanned
+    assert observed(lazy, "users") is None
+    for check in (validate.row_counts, validate.date_ranges, validate.null_checks):
+        a, b = check(t), check(lazy)
+        assert a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
