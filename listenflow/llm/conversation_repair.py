@@ -76,11 +76,10 @@ def ordered(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"), role.alias("role"),
                            text.alias("text"), copies.alias("copies"))
     rows = rows.select("*", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit("2"), "role", "text").alias("h2"))
-    # only short keys: Spark brings a sample of them to the driver
+    # only short keys: Spark brings a sample of them to the driver; the salt spreads equal rows
+    rows = rows.withColumn("salt", F.rand(13))
     keys = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.substring("role", 1, 32),
-            F.substring("text", 1, 32), F.col("h1"), F.rand(13)]
-    rows = rows.withColumn("salt", keys.pop())
-    keys.append(F.col("salt"))
+            F.substring("text", 1, 32), F.col("h1"), F.col("salt")]
     sorted_ = rows.repartitionByRange(segment_count(messages.sparkSession), *keys).sortWithinPartitions(*keys)
     initial = F.substring("role", 1, 1)
     return materialize(sorted_.select(
