@@ -106,6 +106,7 @@ def _explode(rows: DataFrame) -> DataFrame:
 
 
 SEGMENTS = "anchor long, k1 long, k2 long, seg binary, doc_id long, row long, start long"
+SEGMENT_NAMES = ["anchor", "k1", "k2", "seg", "doc_id", "row", "start"]
 
 
 def _key(raw: bytes) -> tuple[int, int]:
@@ -119,9 +120,9 @@ def segments(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, row, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
-                                              b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
+            anchors, starts, segs, digests, counts = [], [], [], [], []
+            for text, wanted in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
+                counts.append(0)
                 words = _hashes(store).of(text.split())
                 if len(words) < window:
                     continue
@@ -131,10 +132,19 @@ def segments(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
                 keys = g[at[first]].view(np.int64)
                 hit = np.isin(keys, np.array(wanted, np.int64))
                 raw = words.astype("<u8").tobytes()
-                for s, e, k in zip(first[hit].tolist(), last[hit].tolist(), keys[hit].tolist()):
-                    seg = raw[8 * s:8 * (e + window)]
-                    rows.append((k, *_key(seg), seg, doc, row, s))
-            yield _segment_batch(rows)
+                anchors.append(keys[hit])
+                starts.append(first[hit])
+                mine = [raw[8 * s:8 * (e + window)] for s, e in zip(first[hit].tolist(), last[hit].tolist())]
+                counts[-1] = len(mine)
+                segs += mine
+                digests += map(xxhash.xxh3_128_digest, mine)
+            k = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            of = np.repeat(np.arange(len(counts)), counts)
+            empty = [np.empty(0, np.int64)]
+            yield pa.record_batch([
+                pa.array(np.concatenate(anchors or empty)), pa.array(np.ascontiguousarray(k[:, 0])),
+                pa.array(np.ascontiguousarray(k[:, 1])), pa.array(segs, pa.binary()), b.column(0).take(pa.array(of)),
+                b.column(1).take(pa.array(of)), pa.array(np.concatenate(starts or empty))], names=SEGMENT_NAMES)
     return candidates.mapInArrow(run, SEGMENTS)
 
 
@@ -142,7 +152,7 @@ def _segment_batch(rows) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     columns = list(zip(*rows)) if rows else [[]] * 7
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)],
-                           names=["anchor", "k1", "k2", "seg", "doc_id", "row", "start"])
+                           names=SEGMENT_NAMES)
 
 
 def _cut_heavy(segs: DataFrame, heavy: DataFrame, window: int) -> DataFrame:
@@ -156,9 +166,8 @@ def _cut_heavy(segs: DataFrame, heavy: DataFrame, window: int) -> DataFrame:
                     k1, k2 = _key(one)
                     rows.append((k1, k1, k2, one, doc, row, start + k))
             yield _segment_batch(rows)
-    cols = ["anchor", "k1", "k2", "seg", "doc_id", "row", "start"]
-    light = segs.join(heavy, "anchor", "left_anti").select(*cols)
-    return light.union(segs.join(heavy, "anchor", "left_semi").select(*cols).mapInArrow(run, SEGMENTS))
+    light = segs.join(heavy, "anchor", "left_anti").select(*SEGMENT_NAMES)
+    return light.union(segs.join(heavy, "anchor", "left_semi").select(*SEGMENT_NAMES).mapInArrow(run, SEGMENTS))
 
 
 def _search_shard(window: int):
@@ -195,16 +204,20 @@ def _covered(found: DataFrame, window: int) -> DataFrame:
     """``row, s, e``: runs of words covered by windows of a smaller id."""
     def run(batches):
         for b in batches:
-            rows, s, e = [], [], []
-            for doc, row, start, raw in zip(*(b.column(i).to_pylist() for i in range(4))):
-                hit = np.flatnonzero(np.frombuffer(raw, "<i8") < doc)
-                if len(hit):
-                    cut = np.flatnonzero(np.diff(hit) > window) + 1
-                    for part in np.split(hit, cut):
-                        rows.append(row)
-                        s.append(start + int(part[0]))
-                        e.append(start + int(part[-1]) + window)
-            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())],
+            doc, row, start = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            raw = b.column(3).to_pylist()
+            minima = np.frombuffer(b"".join(raw), "<i8")
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+            owner = np.repeat(np.arange(len(raw)), sizes)
+            hit = np.flatnonzero(minima < doc[owner])       # windows with a smaller id, by segment
+            of = owner[hit]
+            at = hit - (np.cumsum(sizes) - sizes)[of]
+            # a run ends with its segment, or where the next window leaves a word out
+            ends = (of[1:] != of[:-1]) | (at[1:] - at[:-1] > window)
+            first = np.concatenate([[True], ends]) if len(hit) else np.empty(0, bool)
+            last = np.concatenate([ends, [True]]) if len(hit) else np.empty(0, bool)
+            of, s, e = of[first], at[first], at[last]
+            yield pa.record_batch([pa.array(row[of]), pa.array(start[of] + s), pa.array(start[of] + e + window)],
                                   names=["row", "s", "e"])
     return found.select("doc_id", "row", "start", "minima").mapInArrow(run, "row long, s long, e long")
 
