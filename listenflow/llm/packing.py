@@ -49,6 +49,17 @@ MAX_WORDS = 1 << 19     # words remembered per worker, and as many of the genera
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that are no visible character stand for
+    the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordTokenizer:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
@@ -98,8 +109,10 @@ class WordTokenizer:
                     tails.append((w, low, w[len(core):]))
                 if low != w and known.get(low):
                     continue
-                if low.isascii():       # normalised and one pre-token as it is
-                    known[low] = pack([t.id for t in bpe(low.decode("ascii"))])
+                text = low.decode("utf-8")
+                # below U+0250 every letter is normalised as it is: one pre-token of its bytes' letters
+                if max(text, default="") < "\u0250" and text == text.lower():
+                    known[low] = pack([t.id for t in bpe(low.decode("latin-1").translate(BYTE_LETTERS))])
                 else:
                     plain.add(low)
             else:

@@ -119,3 +119,17 @@ def test_patterns_cover_and_are_near_the_bound():
     rest = sum(c * n for c, n in left.items()) / 256
     assert rest <= len(histogram)                       # less than one sequence per pattern
     assert used + rest <= 1.01 * volume
+
+
+def test_words_of_every_latin_letter():
+    """Words that go to the merge model directly give the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    from listenflow.llm.common import tokenizer_path
+    from listenflow.llm.packing import VOCABULARY, WordTokenizer
+    path = tokenizer_path(VOCABULARY)
+    letters = [chr(c) for c in range(65, 0x260) if chr(c).isalpha()]
+    words = [a + b + "en" for a in letters for b in ("", "s", "É", a)] + ["Straße,", "ſt", "ŉa", "ǅungla", "İx", "éte"]
+    plain = Tokenizer.from_file(path)
+    for word, ids in zip(words, WordTokenizer(path).encode_many([w.encode() for w in words], b"")):
+        assert list(memoryview(ids).cast("I")) == plain.encode(word, add_special_tokens=False).ids, word
