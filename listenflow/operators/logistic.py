@@ -126,7 +126,7 @@ def permutation_importance(frame: DataFrame, model: LogisticModel, label: str =
     scored = moved.select("feature", "y", round_half_away(
         _sigmoid(F.col("z") + F.col("weight") * (F.col("other") - F.col("x"))), DECIMALS).alias("p"))
     permuted = score_auc(scored, "p", "y", by=["feature"]).select("feature", F.col("auc").alias("permuted_auc"))
-    base = probability_auc(conversion_probability(frame, model, label)).select("auc")
-    # one row meets one row per feature
-    return permuted.crossJoin(F.broadcast(base)).select(
-        "feature", "auc", "permuted_auc", round_half_away(F.col("auc") - F.col("permuted_auc"), DECIMALS).alias("auc_drop"))
+    base = probability_auc(conversion_probability(frame, model, label)).first().auc     # one number
+    return permuted.select(
+        "feature", F.lit(base).cast("double").alias("auc"), "permuted_auc",
+        round_half_away(F.lit(base).cast("double") - F.col("permuted_auc"), DECIMALS).alias("auc_drop"))
