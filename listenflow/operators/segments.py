@@ -157,5 +157,6 @@ def engagement_qcut_segments(features: DataFrame) -> DataFrame:
 def segment_share(segments: DataFrame) -> DataFrame:
     """Share of users per segment (input has one row per segment)."""
     total = F.sum("users").over(Window.partitionBy())   # at most four rows
-    return ordered(segments.select("segment", "users", pct(F.col("users"), total, 1).alias("share_pct"),
-                                   _place("segment", QCUT_LABELS).alias("segment_order")), "segment_order")
+    rows = segments.groupBy("segment").agg(F.sum("users").alias("users"))     # leaves the input's sort out of the plan
+    shares = rows.select("segment", "users", pct(F.col("users"), total, 1).alias("share_pct"))
+    return ordered(shares.withColumn("segment_order", _place("segment", QCUT_LABELS)), "segment_order")
