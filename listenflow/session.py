@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -24,6 +25,17 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# At most these sizes; a session's own smaller ones stay.  AQE merges shuffle
+# partitions up to the first and splits skewed ones beyond the second.  Both
+# count compressed bytes, and narrow rows of keys and counts take some 15 times
+# as much in the sorts and hash maps of the task that reads them.
+PARTITION_BYTES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 64 << 20,
+}
+BYTE_UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40,
+              "p": 50, "pb": 50}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "listenflow", extra: dict | None = None) -> SparkSession:
@@ -47,10 +59,19 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the session settings the analyses rely on to an existing session."""
     for k, v in SESSION_DEFAULTS.items():
         spark.conf.set(k, v)
+    for k, most in PARTITION_BYTES.items():
+        if byte_count(spark.conf.get(k)) > most:
+            spark.conf.set(k, f"{most}b")
     checkpoint_dir(spark)
     return spark
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a size as Spark's settings write it (``64MB``, ``8m``, ``67108864b``)."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", size.lower()).groups()
+    return int(number) << BYTE_UNITS[unit]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
