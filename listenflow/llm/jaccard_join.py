@@ -28,14 +28,18 @@ that both sides of a link deal alike.
 Every entry is compared with the centre of its group (the node whose index
 groups are the largest together, such as the original of edited copies); what
 links with the centre is connected.  For the others, a set is its difference ``D`` to
-the centre: ``|x ^ y| = |D(x) ^ D(y)|``.  If ``x`` does not link with the centre and
-does with ``y``, then ``x`` holds more than ``(1 - b) / 2`` of ``D(y)``, where
-``b = (100 - similarity) / (100 + similarity)``.  So any ``|D(y)| - t + 1``
-tokens of ``D(y)`` hold one of ``x``'s, ``t`` the number it must share: ``y`` is
-indexed by its rarest ones around this centre (those it alone holds need no
-entry), and ``x`` looks all of its own up.
-Pairs inside one component add nothing and are not made; sizes and distances to
-the centre rule pairs out before they are made; the differences decide.
+the centre: ``|x ^ y| = |D(x) ^ D(y)|``.  If ``x`` and ``y`` link, few tokens of
+``D(x)`` are missing in ``D(y)``, so a short prefix of each, in one order of the
+tokens around this centre, holds the first token they share.  Tokens that few
+nodes hold come first, and tokens of the centre by how few nodes lack them; both are
+estimated from the number of all nodes around centres that hold the token, so
+only prefixes leave the task that compares a set with its centre.  Tokens that one
+node alone holds count but need no entry.  If ``x`` does not link with the
+centre, it holds more than ``(1 - b) / 2`` of ``D(y)``, where
+``b = (100 - similarity) / (100 + similarity)``, which shortens ``y``'s prefix.
+Pairs inside one component add nothing and are not made; sizes, distances to the
+centre and the places of the shared token rule pairs out before they are made; the
+sets decide.
 
 Defined cases: null, empty and white-space texts have an empty set, link with
 nothing and are their own component; fewer words than ``n`` make one shingle
@@ -213,73 +217,121 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-STAR = "pivot long, node long, n long, apart long, linked boolean, diff binary"
+LEVELS = 16         # steps a doubling of a token's count, as ``counted_sets`` stores it
 
 
-def _stars(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """``STAR`` rows of ``pivot, node``: the difference of each node to its centre."""
-    both = (pairs.join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("sp")), "pivot")
-            .join(sets, "node").select("pivot", "node", "sp", "s"))
+def _counted_sets(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, s, often`` of the nodes in ``star``: for each token of the set, how
+    many of these nodes hold it, as a byte on a logarithmic scale (0: this one alone)."""
+    nodes = star.select("node").union(star.select("pivot")).distinct()
+    some = sets.join(nodes, "node", "left_semi")
+    each = _entries(some.select("node", F.col("s").alias("prefix")))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    level = F.least(F.round(LEVELS * F.log2("df")), F.lit(255)).cast("short").alias("level")
+    # at most the tokens of one set
+    held = each.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("token", level)).alias("held"))
+
+    def run(batches):
+        for b in batches:
+            often = []
+            for x, held_ in zip(b.column(1).to_pylist(), b.column(2)):
+                x = np.frombuffer(x, "<u8")
+                of = np.zeros(len(x), np.uint8)
+                if held_.is_valid:
+                    token, level_ = (c.to_numpy(zero_copy_only=False) for c in held_.values.flatten())
+                    of[np.searchsorted(x, token.view(np.uint64))] = level_
+                often.append(of.tobytes())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(often, pa.binary())], names=["node", "s", "often"])
+    return materialize(some.join(held, "node", "left").select("node", "s", "held")
+                       .mapInArrow(run, "node long, s binary, often binary"))
+
+
+def index_prefix(p: np.ndarray, often_p: np.ndarray, x: np.ndarray, often_x: np.ndarray, around: int, similarity: int):
+    """``apart, linked, tokens, places`` of a set and its centre ``p``: the prefix of
+    their difference, with each token's place in it (from 1), for a centre with
+    ``around`` nodes."""
+    own = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] != x
+    lack = x[np.minimum(np.searchsorted(x, p), len(x) - 1)] != p
+    diff = np.concatenate([x[own], p[lack]])
+    apart = len(diff)
+    linked = _linked(apart, len(p) + len(x), similarity)
+    # those that hold it; of the centre's tokens, those that lack it
+    rate = np.exp2(np.concatenate([often_x[own], often_p[lack]]) / LEVELS)
+    rate[own.sum():] = around + 1 - np.minimum(rate[own.sum():], around)
+    if linked:
+        limit = apart - (apart * similarity // (100 + similarity) + 1) + 1
+    else:
+        limit = _apart(len(x) + len(x) * 100 // similarity, similarity) + 1
+    order = np.lexsort((diff, rate))[:limit]
+    alone = np.concatenate([often_x[own] == 0, np.zeros(apart - own.sum(), bool)])[order]
+    return apart, linked, diff[order][~alone], np.flatnonzero(~alone) + 1
+
+
+STAR = "pivot long, node long, n long, apart long, linked boolean, tokens binary, places binary"
+
+
+def _stars(star: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``STAR`` rows of ``pivot, node``: how each node differs from its centre."""
+    counted = _counted_sets(star, sets)
+    around = star.groupBy("pivot").agg(F.count(F.lit(1)).alias("around"))
+    centres = counted.withColumnsRenamed({"node": "pivot", "s": "sp", "often": "op"}).join(around, "pivot")
+    both = star.join(centres, "pivot").join(counted, "node").select("pivot", "node", "around", "sp", "op", "s", "often")
 
     def run(batches):
         for b in batches:
             out = []
-            for pivot, node, p, x in zip(*(c.to_pylist() for c in b.columns)):
+            for pivot, node, around_, p, op, x, ox in zip(*(c.to_pylist() for c in b.columns)):
                 p, x = np.frombuffer(p, "<u8"), np.frombuffer(x, "<u8")
-                diff = np.setxor1d(p, x, assume_unique=True)
-                out.append((pivot, node, len(x), len(diff), _linked(len(diff), len(p) + len(x), similarity),
-                            diff.astype("<u8").tobytes()))
-            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)],
-                                  names=["pivot", "node", "n", "apart", "linked", "diff"])
-    return materialize(both.mapInArrow(run, STAR))
+                apart, linked, tokens, places = index_prefix(p, np.frombuffer(op, np.uint8), x, np.frombuffer(ox, np.uint8),
+                                                             around_, similarity)
+                out.append((pivot, node, len(x), apart, linked, tokens.astype("<u8").tobytes(), places.astype("<i4").tobytes()))
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)],
+                                  names=["pivot", "node", "n", "apart", "linked", "tokens", "places"])
+    stars = materialize(both.mapInArrow(run, STAR))
+    discard(counted)
+    return stars
+
 
+def _prefix_tokens(rows: DataFrame) -> DataFrame:
+    """One row per prefix token, with the other columns of its ``STAR`` row."""
+    names = ["pivot", "node", "n", "apart", "linked", "comp"]
 
-def _diff_tokens(rows: DataFrame) -> DataFrame:
-    """``pivot, node, token``: one row per token of the differences."""
     def run(batches):
         for b in batches:
-            parts = [np.frombuffer(x, "<i8") for x in b.column(2).to_pylist()]
-            if parts:
-                at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
-                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(parts))],
-                                      names=["pivot", "node", "token"])
-    return rows.select("pivot", "node", "diff").mapInArrow(run, "pivot long, node long, token long")
+            tokens = [np.frombuffer(x, "<i8") for x in b.column(6).to_pylist()]
+            if tokens:
+                places = np.concatenate([np.frombuffer(x, "<i4") for x in b.column(7).to_pylist()])
+                at = pa.array(np.repeat(np.arange(len(tokens)), [len(x) for x in tokens]))
+                yield pa.record_batch([*(b.column(i).take(at) for i in range(6)), pa.array(np.concatenate(tokens)),
+                                       pa.array(places)], names=[*names, "token", "place"])
+    return rows.select(*names, "tokens", "places").mapInArrow(
+        run, "pivot long, node long, n long, apart long, linked boolean, comp long, token long, place int")
 
 
-def _around_centres(stars: DataFrame, comps: DataFrame, similarity: int) -> DataFrame:
+def _around_centres(stars: DataFrame, comps: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links ``a, b`` between nodes around one centre, one of which does not
     link with the centre."""
     some = stars.where("not linked").select("pivot").distinct()
-    rows = (stars.join(some, "pivot", "left_semi").join(comps.select("node", "comp"), "node", "left")
+    rows = (stars.where("length(tokens) > 0").join(some, "pivot", "left_semi").join(comps.select("node", "comp"), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
-    rows = materialize(rows)
-    each = _diff_tokens(rows)
-    held = each.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    each = materialize(each.join(held, ["pivot", "token"])
-                       .join(rows.select("pivot", "node", "n", "apart", "linked", "comp"), ["pivot", "node"]))
+    each = materialize(_prefix_tokens(rows))
+    discard(stars)
     shared = F.floor(F.col("apart") * similarity / (100 + similarity)) + 1      # more than (1 - b) / 2 of them
-    of = Window.partitionBy("pivot", "node")        # at most the tokens of one difference
-    known = F.count(F.lit(1)).over(of)              # the others, apart - known, are held by this node alone
     x = each.where("not linked").alias("x")
-    y = (each.withColumn("place", F.row_number().over(of.orderBy("df", "token"))).withColumn("known", known)
-         .where(F.col("place") <= F.col("apart") - shared + 1 - (F.col("apart") - F.col("known"))).alias("y"))
-    able = (F.col("x.comp") != F.col("y.comp")) & (
-        F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + similarity) <= (F.col("x.n") + F.col("y.n")) * (100 - similarity))
-    met = (x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token"))).where(able)
-           .select(F.col("x.pivot").alias("pivot"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    side = rows.select("pivot", "node", "n", "diff")
-    both = (met.join(side.select("pivot", F.col("node").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da")), ["pivot", "a"])
-            .join(side.select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db")), ["pivot", "b"])
-            .select("a", "b", "na", "nb", "da", "db"))
-
-    def compare(batches):
-        for b in batches:
-            keep = [_linked(len(np.setxor1d(np.frombuffer(u, "<u8"), np.frombuffer(v, "<u8"), assume_unique=True)), na + nb, similarity)
-                    for na, nb, u, v in zip(*(c.to_pylist() for c in b.columns[2:]))]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
-    return both.mapInArrow(compare, "a long, b long")
+    y = each.where(F.col("place") <= F.col("apart") - shared + 1).alias("y")
+    most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - similarity) / (100 + similarity))
+    # the first token both have: at most so many come before it
+    first_x = 2 * (F.col("x.place") - 1) <= most + F.col("x.apart") - F.col("y.apart")
+    first_y = 2 * (F.col("y.place") - 1) <= most + F.col("y.apart") - F.col("x.apart")
+    able = ((F.col("x.comp") != F.col("y.comp")) & first_x & first_y & _fits(F.col("x.n"), F.col("y.n"), similarity)
+            & (F.col("y.linked") | (F.col("x.node") < F.col("y.node"))))
+    met = materialize(x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token"))).where(able)
+                      .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    discard(each)
+    more = materialize(_verify(met, sets, similarity))
+    discard(met)
+    return more
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -326,15 +378,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = crowded.groupBy("node").agg(F.sum("c").alias("w"))
     central = F.max(F.struct("w", (-F.col("node")).alias("node")))["node"]
     pivots = crowded.join(weight, "node").groupBy("bucket").agg((-central).alias("pivot"))
-    star = crowded.join(pivots, "bucket").where("node <> pivot").select("pivot", "node").distinct()
-    stars = _stars(star, sets, similarity)
+    star = materialize(crowded.join(pivots, "bucket").where("node <> pivot").select("pivot", "node").distinct())
     discard(members, crowded)
+    stars = _stars(star, sets, similarity)
+    discard(star)
 
     links = materialize(_verify(pairs, sets, similarity).union(stars.where("linked").select("pivot", "node")))
-    discard(pairs, sets)
+    discard(pairs)
     comps = connected_components(links, "a", "b")
-    more = materialize(_around_centres(stars, comps, similarity))
-    discard(stars)
+    more = _around_centres(stars, comps, sets, similarity)
+    discard(sets)
     if more.limit(1).count():
         comps = connected_components(links.union(more), "a", "b")
 
