@@ -30,9 +30,8 @@ groups are the largest together, such as the original of edited copies); what
 links with the centre is connected.  For the others, a set is its difference ``D`` to
 the centre: ``|x ^ y| = |D(x) ^ D(y)|``.  If ``x`` and ``y`` link, few tokens of
 ``D(x)`` are missing in ``D(y)``, so a short prefix of each, in one order of the
-tokens around this centre, holds the first token they share.  Tokens that few
-nodes hold come first, and tokens of the centre by how few nodes lack them; both are
-estimated from the number of all nodes around centres that hold the token, so
+tokens, holds the first token they share.  Tokens that few nodes around centres hold
+come first, those of the centre itself last (most nodes far from it lack them), so
 only prefixes leave the task that compares a set with its centre.  Tokens that one
 node alone holds count but need no entry.  If ``x`` does not link with the
 centre, it holds more than ``(1 - b) / 2`` of ``D(y)``, where
@@ -217,7 +216,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-LEVELS = 16         # steps a doubling of a token's count, as ``counted_sets`` stores it
+LEVELS = 16         # steps a doubling of a token's count, as ``_counted_sets`` stores it
 
 
 def _counted_sets(star: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,18 +245,16 @@ def _counted_sets(star: DataFrame, sets: DataFrame) -> DataFrame:
                        .mapInArrow(run, "node long, s binary, often binary"))
 
 
-def index_prefix(p: np.ndarray, often_p: np.ndarray, x: np.ndarray, often_x: np.ndarray, around: int, similarity: int):
+def index_prefix(p: np.ndarray, often_p: np.ndarray, x: np.ndarray, often_x: np.ndarray, similarity: int):
     """``apart, linked, tokens, places`` of a set and its centre ``p``: the prefix of
-    their difference, with each token's place in it (from 1), for a centre with
-    ``around`` nodes."""
+    their difference, with each token's place in it (from 1)."""
     own = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] != x
     lack = x[np.minimum(np.searchsorted(x, p), len(x) - 1)] != p
     diff = np.concatenate([x[own], p[lack]])
     apart = len(diff)
     linked = _linked(apart, len(p) + len(x), similarity)
-    # those that hold it; of the centre's tokens, those that lack it
-    rate = np.exp2(np.concatenate([often_x[own], often_p[lack]]) / LEVELS)
-    rate[own.sum():] = around + 1 - np.minimum(rate[own.sum():], around)
+    # the centre's tokens last, first those that many nodes hold
+    rate = np.concatenate([often_x[own].astype(np.int64), 511 - often_p[lack].astype(np.int64)])
     if linked:
         limit = apart - (apart * similarity // (100 + similarity) + 1) + 1
     else:
@@ -273,17 +270,16 @@ STAR = "pivot long, node long, n long, apart long, linked boolean, tokens binary
 def _stars(star: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """``STAR`` rows of ``pivot, node``: how each node differs from its centre."""
     counted = _counted_sets(star, sets)
-    around = star.groupBy("pivot").agg(F.count(F.lit(1)).alias("around"))
-    centres = counted.withColumnsRenamed({"node": "pivot", "s": "sp", "often": "op"}).join(around, "pivot")
-    both = star.join(centres, "pivot").join(counted, "node").select("pivot", "node", "around", "sp", "op", "s", "often")
+    centres = counted.withColumnsRenamed({"node": "pivot", "s": "sp", "often": "op"})
+    both = star.join(centres, "pivot").join(counted, "node").select("pivot", "node", "sp", "op", "s", "often")
 
     def run(batches):
         for b in batches:
             out = []
-            for pivot, node, around_, p, op, x, ox in zip(*(c.to_pylist() for c in b.columns)):
+            for pivot, node, p, op, x, ox in zip(*(c.to_pylist() for c in b.columns)):
                 p, x = np.frombuffer(p, "<u8"), np.frombuffer(x, "<u8")
                 apart, linked, tokens, places = index_prefix(p, np.frombuffer(op, np.uint8), x, np.frombuffer(ox, np.uint8),
-                                                             around_, similarity)
+                                                             similarity)
                 out.append((pivot, node, len(x), apart, linked, tokens.astype("<u8").tobytes(), places.astype("<i4").tobytes()))
             kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)],

@@ -10,6 +10,7 @@ import corpus_pipeline
 from listenflow.llm import jaccard_join, substring_dedup
 from listenflow.llm.components import connected_components
 from listenflow.llm.fm_index import FMIndex
+from listenflow.session import materialize
 from tests.llm.cases import documents, empty, rows_by_id, texts, words
 
 
@@ -94,6 +95,62 @@ def test_a_passage_shared_by_many(spark):
     assert [got[i].component_id for i in range(len(comp))] == comp
 
 
+def test_differences_to_a_centre_are_indexed_by_short_prefixes(spark, monkeypatch):
+    """Texts of one passage and three sections with three versions each: most are
+    far from their centre, and no token of their differences is theirs alone."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    more = []
+    for k in range(81):
+        v = passage + [f"s{at}_{k // 3 ** at % 3}_{i}" for at in range(3) for i in range(25)]
+        if k >= 27:
+            v[rnd.randrange(len(v))] = f"e{k % 7}"
+        more.append(" ".join(v + [f"t{k % 9}"]))
+    entries = []
+
+    def kept(df):
+        out = materialize(df)
+        if {"pivot", "node", "token"} <= set(out.columns):
+            entries.extend(r["count"] for r in out.groupBy("pivot", "node").count().collect())
+        return out
+    monkeypatch.setattr(jaccard_join, "materialize", kept)
+    similarity, n = 80, 5
+    got = rows_by_id(jaccard_join.link_components(documents(spark, more), similarity=similarity, shingle=n, rare=1))
+    sizes, comp = brute_links([*texts(), *more], similarity, n)
+    assert [got[i].n_shingles for i in range(len(sizes))] == sizes
+    assert [got[i].component_id for i in range(len(sizes))] == comp
+    # x and y differ in at most a ninth of their sizes together, so in a quarter of x
+    largest = max(sizes[-len(more):])
+    assert entries and max(entries) <= largest * 25 // 100 + 1
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Whatever the counts, the first token that the differences of two linked sets
+    share stands in both prefixes, at a place their sizes and distances allow."""
+    rnd = np.random.default_rng(5)
+    met = 0
+    for _ in range(300):
+        p, base = (np.sort(rnd.choice(400, 60, replace=False)).astype(np.uint64) for _ in range(2))
+        base = np.union1d(base[:rnd.integers(5, 60)], p[:rnd.integers(0, 60)])
+        both = [np.setdiff1d(np.union1d(base, rnd.choice(400, 4).astype(np.uint64)), rnd.choice(base, 3)) for _ in range(2)]
+        level = rnd.integers(1, 255, 400).astype(np.uint8)
+        apart = len(np.setxor1d(*both))
+        if not len(both[0]) or not len(both[1]) or not apart or not jaccard_join._linked(apart, sum(map(len, both)), 80):
+            continue
+        found = []
+        for x in both:
+            d, linked, tokens, places = jaccard_join.index_prefix(p, level[p.astype(int)], x, level[x.astype(int)], 80)
+            assert d == len(np.setxor1d(p, x))
+            found.append((d, linked, dict(zip(tokens.tolist(), places.tolist()))))
+        most = sum(map(len, both)) * 20 // 180
+        for (dx, x_links, x), (dy, _, y) in (found, found[::-1]):
+            if not x_links:
+                assert any(t in y and y[t] <= dy - dy * 80 // 180 and 2 * (x[t] - 1) <= most + dx - dy
+                           and 2 * (y[t] - 1) <= most + dy - dx for t in x)
+                met += 1
+    assert met > 50
+
+
 def test_null_id_keeps_its_links(spark):
     """The first text links with the two others, which do not link with each other."""
     base = [f"w{i}" for i in range(100)]
