@@ -40,6 +40,11 @@ Pairs inside one component add nothing and are not made; sizes, distances to the
 centre and the places of the shared token rule pairs out before they are made; the
 sets decide.
 
+*Disk.*  What moves all prefixes, all of their tokens or all texts is done for
+``SLICES`` parts of the keys, tokens or ids one after the other; the shuffle files
+of a part go before the next one is made.  Every part is whole: rows that meet
+have the same key, token or id.
+
 Defined cases: null, empty and white-space texts have an empty set, link with
 nothing and are their own component; fewer words than ``n`` make one shingle
 of the whole sequence; repeated rows (also of one id) fold into one node; rows
@@ -66,6 +71,7 @@ SHINGLE = 3             # words
 RARE = 8                # prefixes that may hold a rare token
 EXTRA = 16              # a prefix is extended by this many tokens ...
 EXTRA_PER = 20          # ... and by one more per this many shingles
+SLICES = 4              # parts of a large shuffle that are made one after the other
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, n: int) -> list[np.ndarray]:
@@ -148,12 +154,44 @@ def prefixes(docs: DataFrame, similarity: int, n: int) -> DataFrame:
     return map_texts(docs, run, "doc_id long, n long, key binary, prefix binary")
 
 
-def _entries(groups: DataFrame) -> DataFrame:
-    """``token, node`` rows of the prefixes."""
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all of these written frames."""
+    return parts[0].sparkSession.read.parquet(*(p._lf_path for p in parts))
+
+
+def _in_slice(key: str, i: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLICES)) == i
+
+
+def _fold(made: DataFrame) -> list[DataFrame]:
+    """``key, rep, n, prefix, node``, one row per set, as written parts."""
+    one = lambda i: (made.where((F.col("n") > 0) & _in_slice("key", i)).groupBy("key")
+                     .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+                     .withColumn("node", F.monotonically_increasing_id() * SLICES + i))
+    return [materialize(one(i)) for i in range(SLICES)]
+
+
+def _shared_entries(full: DataFrame) -> list[DataFrame]:
+    """``token, node, df`` of the tokens that several prefixes hold, as written parts."""
+    parts = []
+    for i in range(SLICES):
+        entries = _entries(full, i)
+        tokens = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+        parts.append(materialize(entries.join(tokens, "token")))
+        discard(tokens)
+    return parts
+
+
+def _entries(groups: DataFrame, i: int | None = None) -> DataFrame:
+    """``token, node`` rows of the prefixes; those of slice ``i`` of the tokens, if given."""
+    slices = SLICES
+
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
             parts = [np.frombuffer(p, "<i8") for p in b.column(1).to_pylist()]
+            if i is not None:
+                parts = [p[p % slices == i] for p in parts]
             if parts:
                 yield pa.record_batch([pa.array(np.concatenate(parts)), pa.array(np.repeat(node, [len(p) for p in parts]))],
                                       names=["token", "node"])
@@ -178,21 +216,28 @@ def _fits(a: Column, b: Column, similarity: int) -> Column:
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def _sets(ids: DataFrame, groups: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """``node, s`` of the nodes in ``ids``, built again from the text of one
-    row each; written once."""
-    wanted = groups.join(ids.select("node").distinct(), "node", "left_semi").select("node", "key", F.col("rep").alias("_rep"))
-    # a null id is looked up among the rows without an id
-    texts = docs.join(wanted.select("_rep").distinct().hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
+def _sets(ids: DataFrame, groups: DataFrame, docs: DataFrame, n: int) -> list[DataFrame]:
+    """``node, s, many`` of the ``node, many`` in ``ids``, built again from the text
+    of one row each, as written parts."""
+    wanted = materialize(groups.join(ids.groupBy("node").agg(F.max("many").alias("many")), "node")
+                         .select("node", "key", F.col("rep").alias("_rep"), "many"))
 
     def run(ids_, texts_):
         sets = shingle_sets(utf8(texts_), run_hashes.setdefault("h", WordHashes()), n)
         return pa.record_batch([pa.array([_key(s) for s in sets], pa.binary()),
                                 pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["key", "s"])
     run_hashes: dict = {}
-    sets = map_texts(texts, run, "key binary, s binary")
-    # rows that repeat an id with another text give keys nobody asked for, repeated rows the same key twice
-    return materialize(sets.join(wanted.select("node", "key"), "key").select("node", "s").dropDuplicates(["node"]))
+    parts = []
+    for i in range(SLICES):
+        some = wanted.where(_in_slice("_rep", i))
+        # a null id is looked up among the rows without an id
+        texts = docs.where(_in_slice("_id", i)).join(some.select("_rep").distinct().hint("shuffle_hash"),
+                                                     F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
+        # rows that repeat an id with another text give keys nobody asked for, repeated rows the same key twice
+        parts.append(materialize(map_texts(texts, run, "key binary, s binary").dropDuplicates(["key"])
+                                 .join(some.select("node", "key", "many"), "key").select("node", "s", "many")))
+    discard(wanted)
+    return parts
 
 
 def _linked(apart: int, total: int, similarity: int) -> bool:
@@ -223,7 +268,8 @@ def _counted_sets(star: DataFrame, sets: DataFrame) -> DataFrame:
     """``node, s, often`` of the nodes in ``star``: for each token of the set, how
     many of these nodes hold it, as a byte on a logarithmic scale (0: this one alone)."""
     nodes = star.select("node").union(star.select("pivot")).distinct()
-    some = sets.join(nodes, "node", "left_semi")
+    # filtered as `_entries` does (no set is empty), so that both reads share one shuffle
+    some = sets.where("length(s) > 0").join(nodes, "node", "left_semi")
     each = _entries(some.select("node", F.col("s").alias("prefix")))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     level = F.least(F.round(LEVELS * F.log2("df")), F.lit(255)).cast("short").alias("level")
@@ -337,16 +383,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("similarity must be at least 75 percent")
     docs = narrow(docs, id_col, text_col)
     made = materialize(prefixes(docs, similarity, shingle))
-    full = materialize(made.where("n > 0").groupBy("key")
-                       .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-                       .withColumn("node", F.monotonically_increasing_id()))
+    folded = _fold(made)
+    full = _together(folded)
     rows, groups = materialize(made.select("doc_id", "n", "key")), materialize(full.select("node", "key", "rep", "n"))
     discard(made)
 
-    entries = _entries(full)
-    tokens = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    shared = materialize(entries.join(tokens, "token"))
-    discard(full, tokens)
+    several = _shared_entries(full)
+    shared = _together(several)
+    discard(*folded)
     f_count = shared.groupBy("node").agg(F.count(F.when(F.col("df") > rare, 1)).alias("f"))
     need = _need(F.col("n"), similarity)
     info = materialize(groups.join(f_count, "node", "left").select(
@@ -363,12 +407,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     enough = F.col("c") + F.least("fa", "fb") >= F.least("ka", "kb")
     pairs = materialize(met.join(a, "a").join(b, "b")
                         .where(_fits(F.col("na"), F.col("nb"), similarity) & enough).select("a", "b"))
-    discard(shared)
+    discard(*several)
 
     # 2: nodes that may share frequent tokens only, by combinations of many tokens
-    many = info.where("f >= k_low").select("node")
-    sets = _sets(many.union(pairs.select("a")).union(pairs.select("b")), groups, docs, shingle)
-    members = materialize(_combinations(sets.join(many, "node", "left_semi"), similarity))
+    many = info.select("node", (F.col("f") >= F.col("k_low")).alias("many")).where("many")
+    others = pairs.select("a").union(pairs.select("b")).select("*", F.lit(False))
+    built = _sets(many.union(others), groups, docs, shingle)
+    sets = _together(built)
+    members = materialize(_combinations(sets.where("many"), similarity))
     crowded = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket")
     crowded = materialize(crowded)
     weight = crowded.groupBy("node").agg(F.sum("c").alias("w"))
@@ -383,7 +429,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(pairs)
     comps = connected_components(links, "a", "b")
     more = _around_centres(stars, comps, sets, similarity)
-    discard(sets)
+    discard(*built)
     if more.limit(1).count():
         comps = connected_components(links.union(more), "a", "b")
 

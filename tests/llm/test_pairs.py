@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from listenflow.llm import jaccard_join, substring_dedup
@@ -124,6 +125,49 @@ def test_differences_to_a_centre_are_indexed_by_short_prefixes(spark, monkeypatc
     assert entries and max(entries) <= largest * 25 // 100 + 1
 
 
+def test_large_shuffles_are_made_in_parts(spark, monkeypatch):
+    """Prefixes, their shared tokens and the sets are written a part at a time; rows
+    that meet are in one part, and the parts together are the whole."""
+    more = near_copies() + edited_copies(1)
+    written = {"folded": [], "shared": [], "sets": []}
+
+    def kept(df):
+        out = materialize(df)
+        for name, columns, key in (("folded", {"key", "prefix", "node"}, "key"), ("shared", {"token", "node", "df"}, "token"),
+                                   ("sets", {"node", "s", "many"}, "node")):
+            if columns <= set(out.columns):
+                written[name].append({r[0] for r in out.select(F.hex(key) if key == "key" else key).collect()})
+        return out
+    monkeypatch.setattr(jaccard_join, "materialize", kept)
+    similarity, n = 80, 5
+    got = rows_by_id(jaccard_join.link_components(documents(spark, more), similarity=similarity, shingle=n, rare=2))
+    sizes, comp = brute_links([*texts(), *more], similarity, n)
+    assert [got[i].n_shingles for i in range(len(sizes))] == sizes
+    assert [got[i].component_id for i in range(len(sizes))] == comp
+    for name, parts in written.items():
+        total = sum(map(len, parts))
+        assert len(parts) == jaccard_join.SLICES and total > 50, name
+        assert len(set().union(*parts)) == total and max(map(len, parts)) < 0.5 * total, name
+    assert sum(map(len, written["folded"])) == len({r.key for r in jaccard_join.prefixes(
+        jaccard_join.narrow(documents(spark, more)), similarity, n).where("n > 0").collect()})
+
+
+def test_sets_of_repeated_and_null_ids(spark):
+    """Only the set of the row asked for is built, once, in whichever part its id is."""
+    rows = [(i, f"a{i} b c d e f") for i in (1, 2, 3, 4, None)]
+    docs = jaccard_join.narrow(spark.createDataFrame([*rows, *rows, (1, "another text of one id")], "doc_id long, text string"))
+    made = jaccard_join.prefixes(docs, 90, 3)
+    groups = (made.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+              .withColumn("node", F.monotonically_increasing_id()))
+    groups = materialize(groups)
+    ids = groups.where("rep is null or rep in (1, 2, 4)").select("node", (F.col("rep") == 2).alias("many"))
+    asked = ids.union(ids.select("node", F.lit(False)))
+    parts = jaccard_join._sets(asked, groups, docs, 3)
+    found = [r for p in parts for r in p.join(groups, "node").collect()]
+    assert sorted((r.rep or 0, bool(r.many)) for r in found) == [(0, False), (1, False), (1, False), (2, True), (4, False)]
+    assert all(jaccard_join._key(np.frombuffer(r.s, "<u8")) == r.key and len(r.s) == 8 * r.n for r in found)
+
+
 def test_prefixes_of_linked_sets_meet():
     """Whatever the counts, the first token that the differences of two linked sets
     share stands in both prefixes, at a place their sizes and distances allow."""
